@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simple8b
+from . import bpe, simhash, simple8b
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,9 @@ def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op3_simple8b": op3_simple8b}
+def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op3_simple8b": op3_simple8b, "op8_simhash_bktree": op8_simhash_bktree}
 ORACLE_SQL: dict[str, str] = {}
