@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, simple8b, toxicity
+from . import bpe, hostrules, simhash, simple8b, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,9 @@ def op10_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op3_simple8b": op3_simple8b, "op8_simhash_bktree": op8_simhash_bktree, "op10_toxicity_kneser_ney": op10_toxicity_kneser_ney}
-ORACLE_SQL: dict[str, str] = {}
+def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.verdicts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op3_simple8b": op3_simple8b, "op4_host_quality": op4_host_quality, "op8_simhash_bktree": op8_simhash_bktree, "op10_toxicity_kneser_ney": op10_toxicity_kneser_ney}
+ORACLE_SQL: dict[str, str] = {"op4_host_quality": hostrules.sql()}
