@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hostrules, simhash, simple8b, toxicity
+from . import bpe, hostrules, packing, rollup, secretscan, simhash, simple8b, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,5 +33,26 @@ def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_byte_bpe": op1_byte_bpe, "op3_simple8b": op3_simple8b, "op4_host_quality": op4_host_quality, "op8_simhash_bktree": op8_simhash_bktree, "op10_toxicity_kneser_ney": op10_toxicity_kneser_ney}
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_secret_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.maintained(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op3_simple8b": op3_simple8b,
+    "op4_host_quality": op4_host_quality,
+    "op6_pattern_packing": op6_pattern_packing,
+    "op7_secret_randomness": op7_secret_randomness,
+    "op8_simhash_bktree": op8_simhash_bktree,
+    "op9_token_rollup": op9_token_rollup,
+    "op10_toxicity_kneser_ney": op10_toxicity_kneser_ney,
+}
 ORACLE_SQL: dict[str, str] = {"op4_host_quality": hostrules.sql()}
