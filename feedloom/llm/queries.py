@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hostrules, packing, rollup, secretscan, simhash, simple8b, toxicity
+from . import bpe, hostrules, packing, pq, rollup, secretscan, simhash, simple8b, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,14 +45,27 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.maintained(_table(spark, sf_dir, "documents"))
 
 
+def op2_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.near_pairs(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_pq_near_dedup": op2_pq_near_dedup,
     "op3_simple8b": op3_simple8b,
     "op4_host_quality": op4_host_quality,
+    "op5_warc": op5_warc,
     "op6_pattern_packing": op6_pattern_packing,
     "op7_secret_randomness": op7_secret_randomness,
     "op8_simhash_bktree": op8_simhash_bktree,
     "op9_token_rollup": op9_token_rollup,
     "op10_toxicity_kneser_ney": op10_toxicity_kneser_ney,
 }
-ORACLE_SQL: dict[str, str] = {"op4_host_quality": hostrules.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_host_quality": hostrules.sql(),
+    "op5_warc": "select page_id, url, html from pages where html is not null",
+}
