@@ -29,8 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="feedloom-"))
             atexit.register(lambda: __import__("shutil").rmtree(_OWN_DIR[0], ignore_errors=True))
         base = "file://" + _OWN_DIR[0]
-    if "://" not in base:
-        base = "file://" + os.path.abspath(base)
+    # A folder without a scheme is of the cluster's default file system.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base[5:]
     return f"{base.rstrip('/')}/feedloom-{uuid.uuid4().hex}"
 
 
