@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import NEWS, contains_any, contains_any_sql
+from .vocab import NEWS, contains_any, contains_any_sql, words
 
 #: Name, condition, category, base, and bonuses as (condition, points). All are read by Spark and DuckDB alike.
 CONTEXT = "(denmark or ukraine or europe)"
@@ -41,17 +41,17 @@ def _case(k: int, otherwise: str) -> str:
 CATEGORY, SCORE = _case(1, "''"), _case(2, "0")
 
 
-def flags(lower_text: Column, vocabularies: dict[str, tuple[str, ...]] | None = None) -> dict[str, Column]:
-    return {k: contains_any(lower_text, v) for k, v in (vocabularies or NEWS).items()}
+def flags(lower_text: Column, vocabularies: dict[str, tuple[str, ...]] | None = None, of: Column | None = None) -> dict[str, Column]:
+    return {k: contains_any(lower_text, v, of) for k, v in (vocabularies or NEWS).items()}
 
 
 def scored(items: DataFrame, vocabularies: dict[str, tuple[str, ...]] | None = None, title: str = "title", description: str = "description") -> DataFrame:
     """items with category and score; both are empty and 0 where no rule holds. A null text counts as empty."""
     text = F.lower(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(description), F.lit(""))))
     names = list(items.columns)
-    # The text in lower case and each flag are worked out once.
-    held = items.withColumn("__text", text)
-    held = held.withColumn("__flags", F.struct(*[c.alias(k) for k, c in flags(F.col("__text"), vocabularies).items()])).select(*names, "__flags.*")
+    # The text in lower case, its words and each flag are worked out once.
+    held = items.withColumn("__text", text).withColumn("__words", words(F.col("__text")))
+    held = held.withColumn("__flags", F.struct(*[c.alias(k) for k, c in flags(F.col("__text"), vocabularies, F.col("__words")).items()])).select(*names, "__flags.*")
     return held.withColumns({"category": F.expr(CATEGORY), "score": F.expr(SCORE).cast("int")}).select(*names, "category", "score")
 
 

@@ -34,9 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where a small file would be one task; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as items: the first line is the title, the text the description, and they came minute by minute."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         F.col("doc_id").alias("ord"),
         F.left(F.substring_index("text", "\n", 1), F.lit(TITLE_CHARS)).alias("title"),

@@ -14,7 +14,7 @@ from ..functions.vocab import contains_any_sql
 from ..operators import dedup, enrich, ledger, usage
 from ..operators.select import POOL, diverse, ranked
 from .flagship import curated, dedup_keys
-from .items import DEMO, EPOCH, ITEMS, LEDGER, LINKS, NOW, SENT, items, links, sent, table
+from .items import DEMO, EPOCH, ITEMS, LEDGER, LINKS, NOW, SENT, items, links, sent, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -436,7 +436,7 @@ def srcset_largest(spark, d):
 @query()
 def article_extract(spark, d):
     """Parsing HTML has no counterpart in SQL; the tests hold it to fixtures."""
-    return html.articles(table(spark, d, "pages"))
+    return html.articles(spread(table(spark, d, "pages")))
 
 
 @query()
