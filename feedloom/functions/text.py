@@ -252,8 +252,8 @@ PROVIDER_PATHS = {"gemini": "$.candidates[0].content.parts[0].text", "groq": "$.
 def provider_text(provider: str, body: Column) -> Column:
     """The answer in a provider's JSON; null where it isn't there."""
     if provider == "google":
-        rows = F.from_json(F.get_json_object(body, "$[0]"), "array<string>")
-        return F.when(rows.isNotNull(), F.array_join(F.transform(rows, lambda x: F.coalesce(F.get_json_object(x, "$[0]"), F.lit(""))), ""))
+        rows = F.from_json(F.get_json_object(body, "$[0]"), "array<array<string>>")
+        return let(rows, lambda r: F.when(r.isNotNull(), F.array_join(F.transform(r, lambda x: F.coalesce(F.get(x, F.lit(0)), F.lit(""))), "")))
     return F.get_json_object(body, PROVIDER_PATHS[provider])
 
 
