@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that one vectorised step handles; a longer document is a step of its own.
 SLICE_BYTES = 1 << 20
 
+#: Rows of an Arrow batch. At Spark's own 10,000, documents of 100 kB would make a batch of 1 GB on either side.
+BATCH_ROWS = 1000
+
 _SHIPPED: set[str] = set()
 _OWN_DIR: list[str] = []
 
@@ -60,7 +63,9 @@ def dropped(spark: SparkSession, uri: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors unless their PYTHONPATH has it."""
+    """Send this package to the executors unless their PYTHONPATH has it, and keep Arrow batches of long texts small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED or root in os.environ.get("PYTHONPATH", "").split(":"):
