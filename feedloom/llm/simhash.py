@@ -1,7 +1,7 @@
 """SimHash near-duplicates, found by BK-trees over shards of the fingerprints.
 
 A fingerprint is 64 majority bits over the text's distinct longer words. Fingerprints are sharded by several masks of their bits, as many
-as keep a pair nine bits apart together with probability 0.95 at the shard size that is aimed at; so shards stay of one size as the corpus
+as keep a pair ten bits apart together with probability 0.98 at the shard size that is aimed at; so shards stay of one size as the corpus
 grows and only the number of masks rises slowly. In each shard a BK-tree, whose children are keyed by their distance to the parent, is
 searched with every member, along edges within the radius only. Pairs found are verified on bottom sketches of their word pairs. A first
 round verifies a spanning forest of what each shard found; a second, every other pair that would still join two groups. So large groups of
@@ -28,7 +28,7 @@ SIMILARITY = 0.5
 #: Word pairs kept of a text; a text with no more than these is compared exactly.
 SKETCH = 128
 SHARD = 512
-RECALL, RECALL_AT = 0.95, 9
+RECALL, RECALL_AT = 0.98, 10
 #: A broadcast side may have at most so many rows of two numbers; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
