@@ -73,6 +73,9 @@ LINKS = """(select page_id * 4 + form as ord, url from (select page_id, unnest([
  upper(split_part(url, '/', 1) || '//' || split_part(url, '/', 3)) || substr(url, length(split_part(url, '/', 1) || '//' || split_part(url, '/', 3)) + 1)]) as url from pages))"""
 
 NOW = "timestamp '2024-01-15 00:00:00'"
+NOW_SECONDS = 1_705_276_800
+#: Events' times, which are without a zone, as UTC whatever the session's zone is.
+EVENT_TIME = "timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz '1970-01-01 00:00:00', cast(ts as timestamp_ntz)))"
 
 
 def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +88,7 @@ def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://example.org/u/"), user).alias("link"),
         F.when(F.col("user_id") % 11 != 0, F.col("event_type")).alias("category"),
         F.concat(F.lit("src"), (F.col("user_id") % 7).cast("string")).alias("source"),
-        F.col("ts").cast("timestamp").alias("sent_at"),
+        F.expr(EVENT_TIME).alias("sent_at"),
     )
 
 

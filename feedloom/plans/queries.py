@@ -14,7 +14,7 @@ from ..functions.vocab import contains_any_sql
 from ..operators import dedup, enrich, ledger, usage
 from ..operators.select import POOL, diverse, ranked
 from .flagship import curated, dedup_keys
-from .items import DEMO, EPOCH, ITEMS, LEDGER, LINKS, NOW, SENT, items, links, sent, spread, table
+from .items import DEMO, EPOCH, EVENT_TIME, ITEMS, LEDGER, LINKS, NOW, NOW_SECONDS, SENT, items, links, sent, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,7 +42,7 @@ c = F.col
 
 
 def now():
-    return F.expr(NOW)
+    return F.timestamp_seconds(F.lit(NOW_SECONDS))
 
 
 # Keys
@@ -518,7 +518,7 @@ KINDS = "case event_type when 'click' then 'processed' when 'view' then 'time' w
 @query(f"""select count_if(k = 'processed') as news_processed, count_if(k = 'sent') as messages_sent, count_if(k = 'duplicate') as duplicates_filtered, cast(coalesce(sum(m) filter (k = 'time'), 0) as bigint) as total_millis,
  cast(coalesce(floor(sum(m) filter (k = 'time') / nullif(count_if(k = 'time'), 0)), 0) as bigint) as average_millis from (select {KINDS} as k, cast(event_id % 977 as bigint) as m from events)""")
 def metrics_row(spark, d):
-    e = table(spark, d, "events").select(F.expr(KINDS).alias("kind"), c("ts").cast("timestamp").alias("at"), (c("event_id") % 977).alias("millis"), F.lit("").alias("message"))
+    e = table(spark, d, "events").select(F.expr(KINDS).alias("kind"), F.expr(EVENT_TIME).alias("at"), (c("event_id") % 977).alias("millis"), F.lit("").alias("message"))
     return usage.run_metrics(e).select("news_processed", "messages_sent", "duplicates_filtered", "total_millis", "average_millis")
 
 
@@ -532,7 +532,7 @@ QUOTAS = {"click": 40, "view": 25, "purchase": 0}
 
 @query()
 def rate_limit_usage(spark, d):
-    e = table(spark, d, "events").select(c("event_id").alias("ord"), c("ts").cast("timestamp").alias("at"), c("event_type").alias("provider")).filter("ord < 3000")
+    e = table(spark, d, "events").select(c("event_id").alias("ord"), F.expr(EVENT_TIME).alias("at"), c("event_type").alias("provider")).filter("ord < 3000")
     return usage.usage(usage.admitted(e, QUOTAS, 150))
 
 
@@ -540,4 +540,4 @@ def rate_limit_usage(spark, d):
 def stream_counts(spark, d):
     from ..streaming.ledger_stream import drained_counts
 
-    return drained_counts(spark, f"{d}/event[s].parquet", now())
+    return drained_counts(spark, f"{d}/event[s].parquet", now(), F.expr(EVENT_TIME))

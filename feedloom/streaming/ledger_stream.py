@@ -18,6 +18,7 @@ def distinct_stream(items: DataFrame, keys: list[str], at: str = "published", la
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; only where that is unset, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="feedloom-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
@@ -45,16 +46,16 @@ class LedgerSink:
         self.version = batch_id
 
 
-def drained_counts(spark: SparkSession, path: str, now: Column) -> DataFrame:
-    """Events after the ledger's cutoff by user and type, counted by a stream over a Parquet file that is drained once."""
+def drained_counts(spark: SparkSession, path: str, now: Column, at: Column) -> DataFrame:
+    """Events whose time `at` is after the ledger's cutoff, by user and type, counted by a stream over Parquet files that is drained once."""
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(path)
-    counts = stream.filter(F.col("ts").cast("timestamp") > cutoff(now)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    at = shared_folder(spark)
+    counts = stream.filter(at > cutoff(now)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    folder = shared_folder(spark)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out")
+        batch.write.mode("overwrite").parquet(f"{folder}/out")
 
-    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    return spark.read.parquet(f"{folder}/out")
