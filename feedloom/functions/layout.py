@@ -108,6 +108,16 @@ def single(row: dict[str, Column], most: int = 1500, number: Column | None = Non
     return F.concat(mark, F.lit(" "), n, F.lit('<a href="'), row["link"], F.lit('">'), row["title"], F.lit("</a>\n"), body, F.lit("➖" * 10 + "\n\n"))
 
 
+def single_message(row: dict[str, Column], most: int = 1000, foot: str = "") -> Column:
+    """An item as a message of its own: heading, group, linked title and summaries within so many bytes."""
+    ukraine = row["category"] == "ukraine"
+    uk, da = (F.coalesce(row[k], F.lit("")) for k in ("ukrainian", "danish"))
+    body = F.concat(F.when(uk == "", "").otherwise(F.concat(F.lit("🇺🇦 <i>"), limit_bytes(uk, most), F.lit("</i>\n\n"))), F.when(da == "", "").otherwise(F.concat(F.lit("🇩🇰 "), limit_bytes(da, most), F.lit("\n\n"))))
+    group = F.when(ukraine, "🇺🇦 <b>УКРАЇНА В ДАНІЇ</b>").otherwise("🇩🇰 <b>НОВИНИ</b>")
+    title = F.concat(F.when(ukraine, "🔥").otherwise("📰"), F.lit(' <a href="'), row["link"], F.lit('">'), row["title"], F.lit("</a>\n\n"))
+    return F.concat(F.lit(TEXT_HEAD.rstrip("\n") + "\n" + LINE * 15 + "\n\n"), group, F.lit("\n\n"), title, body, F.lit(LINE * 15 + "\n" + foot))
+
+
 DIGEST = (("ukraine", "🇺🇦 <b>УКРАЇНА В ДАНІЇ</b>\n\n"), ("denmark", "\n🇩🇰 <b>ВАЖЛИВІ НОВИНИ</b>\n\n"), ("", "\n🌍 <b>ІНШІ НОВИНИ</b>\n\n"))
 
 
