@@ -118,7 +118,11 @@ def single_message(row: dict[str, Column], most: int = 1000, foot: str = "") ->
     return F.concat(F.lit(TEXT_HEAD.rstrip("\n") + "\n" + LINE * 15 + "\n\n"), group, F.lit("\n\n"), title, body, F.lit(LINE * 15 + "\n" + foot))
 
 
-DIGEST = (("ukraine", "🇺🇦 <b>УКРАЇНА В ДАНІЇ</b>\n\n"), ("denmark", "\n🇩🇰 <b>ВАЖЛИВІ НОВИНИ</b>\n\n"), ("", "\n🌍 <b>ІНШІ НОВИНИ</b>\n\n"))
+def _heading(flag: str, words: str) -> str:
+    return f"{flag} <b>{words}</b>\n\n"
+
+
+DIGEST = (("ukraine", _heading("🇺🇦", "УКРАЇНА В ДАНІЇ")), ("denmark", "\n" + _heading("🇩🇰", "ВАЖЛИВІ НОВИНИ")), ("", "\n" + _heading("🌍", "ІНШІ НОВИНИ")))
 
 
 def digest(items: DataFrame, most: int) -> DataFrame:

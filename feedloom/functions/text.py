@@ -153,7 +153,7 @@ def without_tags(s: Column) -> Column:
 
 
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&aring;": "å", "&aelig;": "æ", "&oslash;": "ø", "&amp;": "&"}
-IRRELEVANT = ("læs også", "se også", "følg med på", "dr nyheder har")
+IRRELEVANT = tuple("dr nyheder har|følg med på|læs også|se også".split("|"))
 
 
 def snippet(s: Column, original: bool = False) -> Column:
