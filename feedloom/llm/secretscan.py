@@ -1,16 +1,18 @@
 """Secrets: strings too random to be text.
 
-A candidate is a run of MIN_LENGTH or more characters that keys are written in. From its characters follows an encoding, and it is tested
-for randomness in that alphabet: chi-squared for uniformity (too uneven or too even), runs about the alphabet's middle, and serial
-correlation; Fisher's method combines the three. A candidate that the battery calls random is held against ordinary text: a Chernoff bound
-on the chance that so many characters, drawn at the rates of all documents' characters, are as improbable as these. That bound falls with
-length, and the Benjamini-Hochberg procedure is run over the distinct candidates of each length class, so short strings, which chance
-produces more easily, don't pass on the strength of long ones.
+A candidate is a run of MIN_LENGTH or more characters that keys are written in, cut at '=' but for padding at its end. It is tested whole
+and in the stretches between its separators, as keys are glued to names, paths and words, and is a secret if any of these strings passes.
+From a string's characters follows an encoding, and it is tested for randomness in that alphabet: chi-squared for uniformity (too uneven
+or too even), runs about the alphabet's middle, and serial correlation; Fisher's method combines the three. A string that the battery calls
+random is held against ordinary text: a Chernoff bound on the chance that so many characters, drawn at the rates of all documents'
+characters, are as improbable as these. That bound falls with length, and the Benjamini-Hochberg procedure is run over the distinct strings
+of each length class, so short strings, which chance produces more easily, don't pass on the strength of long ones.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -58,12 +60,23 @@ def _alphabets() -> list[tuple[str, frozenset, dict]]:
 
 
 def core(s: str) -> str:
-    """What of a candidate is tested: without padding, and only the longest stretch between dashes and underscores if that is long enough."""
+    """What of a candidate is tested first: without padding, and only the longest stretch between dashes and underscores if that is long enough."""
     bare = s.strip("=-_")
     longest = max(bare.replace("_", "-").split("-"), key=len)
     return longest if len(longest) >= MIN_LENGTH else bare
 
 
+#: The separators between which a candidate's stretches are tested; base64 has '/' in it and base64url the other two, so each is also let be.
+SEPARATORS = [re.compile(x) for x in ("[-_]", "/", "[-_/]")]
+
+
+def tested(s: str) -> list[str]:
+    """The distinct strings of MIN_LENGTH or more that a candidate is tested by: its core, the whole, and the stretches between separators."""
+    bare = s.strip("=-_")
+    found = [core(s), bare, *(x.strip("=-_") for cut in SEPARATORS for x in cut.split(bare))]
+    return list(dict.fromkeys(x for x in found if len(x) >= MIN_LENGTH))
+
+
 def _tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -123,13 +136,26 @@ def _in_alphabet() -> np.ndarray:
     return out
 
 
+def _inner_equals(cp: np.ndarray, is_in: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+    """Where a '=' is that isn't padding: after its run of '=' the alphabet's characters go on."""
+    at = np.flatnonzero(cp == ord("="))
+    if not len(at):
+        return at
+    starts = np.zeros(len(cp) + 1, bool)
+    starts[doc_starts] = True
+    last = np.append((at[1:] != at[:-1] + 1) | starts[at[1:]], True)
+    goes_on = np.append(is_in, False)[at[last] + 1] & ~starts[at[last] + 1]
+    return at[goes_on[np.cumsum(last) - last]]
+
+
 def candidates(arr: pa.Array) -> tuple[Chars, np.ndarray, np.ndarray, np.ndarray]:
     """The characters; starts and ends of the candidates, and the index of each one's text."""
     chars = Chars(arr)
     is_in = _in_alphabet()[chars.cp]
+    at = chars.doc_starts
+    is_in[_inner_equals(chars.cp, is_in, at)] = False
     before, after = np.zeros(len(is_in), bool), np.zeros(len(is_in), bool)
     before[1:], after[:-1] = is_in[:-1], is_in[1:]
-    at = chars.doc_starts
     before[at] = False
     after[at[at > 0] - 1] = False
     starts, ends = np.flatnonzero(is_in & ~before), np.flatnonzero(is_in & ~after) + 1
@@ -140,7 +166,7 @@ def candidates(arr: pa.Array) -> tuple[Chars, np.ndarray, np.ndarray, np.ndarray
 
 @dataclass
 class Rule:
-    """Character counts of all documents, and for each length class the power of ten at or below which a candidate is a secret."""
+    """Character counts of all documents, and for each length class the power of ten at or below which a string is a secret."""
 
     counts: np.ndarray
     limits: list[float]
@@ -149,12 +175,14 @@ class Rule:
         return Ordinary(self.counts)
 
     def secret(self, s: str, ordinary: Ordinary) -> tuple[bool, str, float, float]:
-        c = core(s)
-        if len(c) < MIN_LENGTH:
-            return False, "none", 0.0, 0.0
-        encoding, p = battery(c)
-        power = _stepped(ordinary.log10_p(c))
-        return bool(p >= MIN_RANDOM and encoding not in PLAIN and power <= self.limits[size_class(len(c))]), encoding, p, power
+        """Whether s is a secret, and the encoding and p-values of the first of its strings that passes."""
+        for c in tested(s):
+            power = _stepped(ordinary.log10_p(c))
+            if power <= self.limits[size_class(len(c))]:
+                encoding, p = battery(c)
+                if p >= MIN_RANDOM and encoding not in PLAIN:
+                    return True, encoding, p, power
+        return False, "none", 0.0, 0.0
 
 
 def _stepped(log10_p: float) -> float:
@@ -163,7 +191,7 @@ def _stepped(log10_p: float) -> float:
 
 
 def limits(steps: dict[int, dict[float, int]], fdr: float = FDR) -> list[float]:
-    """Benjamini-Hochberg in each length class, from the numbers of candidates by power of ten."""
+    """Benjamini-Hochberg in each length class, from the numbers of strings by power of ten."""
     out = []
     for k in range(len(CLASSES)):
         own = steps.get(k, {})
@@ -213,13 +241,18 @@ def _rule(found: DataFrame) -> Rule:
     counts = np.array([x or 0 for x in row], np.int64)
     ordinary = Ordinary(counts)
 
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x for c in batch.column(0).to_pylist() for x in tested(c)], pa.string())], names=["string"])
+
     def powers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = [x for x in map(core, batch.column(0).to_pylist()) if len(x) >= MIN_LENGTH]
+            c = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([size_class(len(x)) for x in c], pa.int32()), pa.array([_stepped(ordinary.log10_p(x)) for x in c], pa.float64())], names=["k", "power"])
 
     # Rows by class and step of the p-value: a bounded number, whatever the corpus.
-    rows = found.filter("candidate is not null").select("candidate").distinct().mapInArrow(powers, "k int, power double").groupBy("k", "power").count().collect()
+    distinct = found.filter("candidate is not null").select("candidate").distinct().mapInArrow(strings, "string string").distinct()
+    rows = distinct.mapInArrow(powers, "k int, power double").groupBy("k", "power").count().collect()
     steps: dict[int, dict[float, int]] = {}
     for r in rows:
         steps.setdefault(r.k, {})[r.power] = r["count"]
@@ -230,7 +263,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row a secret: doc_id, start and end in characters, encoding, p_random, and log10_p_ordinary.
 
     Texts that are null, empty or short have none. Rows that repeat give their secrets again; the false-discovery control counts a
-    candidate once however often it occurs. Other columns are left out.
+    string once however often it occurs. Other columns are left out.
     """
     ship(docs.sparkSession)
     found = written(_gathered(_base(docs, id_col, text_col)))

@@ -96,6 +96,34 @@ def test_masks(spark):
     assert secretscan.masked(df.limit(0)).count() == 0 and secretscan.scan(df.limit(0)).count() == 0
 
 
+def test_keys_glued_to_names_paths_and_words(spark):
+    r = random.Random(11)
+    hexa, full = "0123456789abcdef", string.ascii_letters + string.digits
+    glue = [("api_key=", hexa, 40, ""), ("https://h.org/v1/keys/", hexa, 40, ""), ("https://h.org/?a=1&token=", full, 32, "&b=2"), ("password==", full + "+/", 43, "="), ("internationalization-", hexa, 20, ""), ("h.org/articles/", full + "-_", 43, "/edit")]
+    docs, keys = [], {}
+    for i in range(240):
+        t = prose(r, 60)
+        if i % 2:
+            before, abc, n, after = glue[i // 2 % len(glue)]
+            keys[i] = "".join(r.choices(abc, k=n))
+            t += f" {before}{keys[i]}{after} " + prose(r, 5)
+        else:
+            t += " " + ["https://h.org/some/ordinary/path/of/words", "name=internationalisation", "a=b=c=d=e=f=g=h=i=j=k=l", "================="][i // 2 % 4]
+        docs.append((i, t))
+    docs.append((9000, "=" * 3))
+    docs.append((9001, "ordinary"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    text = dict(docs)
+    got = {x.doc_id: text[x.doc_id][x.start : x.end] for x in secretscan.scan(df).collect()}
+    assert set(got) <= set(keys)
+    for k in range(len(glue)):
+        own = [i for i in keys if i // 2 % len(glue) == k]
+        assert sum(keys[i] in got.get(i, "") for i in own) >= 0.9 * len(own), glue[k]
+    assert all(not x.startswith(("api_key", "token", "password")) for x in got.values())
+    clean = {x.doc_id: x.text for x in secretscan.masked(df).collect()}
+    assert all((keys[i] in clean[i]) == (i not in got) for i in keys)
+
+
 def changes(spark, rows):
     return spark.createDataFrame(rows, "op string, source string, lang string, tokenizer_version string, n_tokens long, old_tokens long, n_docs int, batch string")
 
