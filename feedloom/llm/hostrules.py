@@ -4,14 +4,21 @@ Each document is put to a few rules. Failures are counted by host, and each host
 beta prior whose mean and strength are fitted to the hosts by moments. A host whose shrunk rate is too high is bad. The host's verdict goes
 back to its documents: one that fails several rules is rejected anywhere, one that fails a single rule only on a bad host, and one that
 fails none never.
+
+Repetition of words and word triples is a verdict of its own, which accepted() adds: verdicts() is held against SQL and has the six rules.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, written
+from .common import Chars, columns, fresh, mix, run_hashes, ship, slices, words, written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
 SYMBOLS = "#$%&*+/<=>@\\^_`{|}~!"
@@ -25,6 +32,9 @@ REJECT_AT = 2
 #: The prior's strength, in documents, where hosts don't differ by more than chance.
 STRONGEST = 1e6
 LEAST_VARIANCE = 1e-9
+#: A text of MIN_WORDS or more repeats itself if its commonest word has more than this share of its words, or if more than this share of its
+#: word triples were met before in it. A text that is there twice over stays below that.
+MIN_WORDS, MAX_TOP_WORD, MAX_REPEATED = 20, 0.3, 0.5
 
 
 def flags(text: Column) -> dict[str, Column]:
@@ -49,6 +59,31 @@ def flags(text: Column) -> dict[str, Column]:
     }
 
 
+def _counts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each distinct (document, key) is met, and its document."""
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return np.diff(np.append(at, len(key))), doc[at]
+
+
+def repetitive(text: pa.Array) -> np.ndarray:
+    """Whether each text repeats its words or word triples too much."""
+    chars = Chars(pc.utf8_lower(text))
+    starts, ends, doc = words(chars)
+    h, k = run_hashes(chars.cp, starts, ends), len(text)
+    n = np.bincount(doc, minlength=k)
+    count, of = _counts(h, doc)
+    top = np.zeros(k)
+    np.maximum.at(top, of, count)
+    at = np.flatnonzero(doc[2:] == doc[:-2])
+    count, of = _counts(mix(mix(mix(h[at]) + h[at + 1]) + h[at + 2]), doc[at])
+    repeated = np.bincount(of, count - 1, minlength=k)
+    return (n >= MIN_WORDS) & ((top > MAX_TOP_WORD * n) | (repeated > MAX_REPEATED * (n - 2)))
+
+
 def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """doc_id, host, fail_<rule> as 0 or 1, and n_failed."""
     base = columns(docs, id_col, text_col, host_col).toDF("doc_id", "text", "host").selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text", "cast(host as string) host")
@@ -86,11 +121,26 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs but for the rows that verdicts() rejects; all columns stay as they are. Only hosts with bad verdicts are joined."""
+    """docs but for the rows that verdicts() rejects and for repetitive() texts; all columns stay as they are. Only hosts with bad verdicts are
+    joined. Where `lines` fails, lines that repeat are its matter, and repetition is looked for in the distinct ones."""
+    ship(docs.sparkSession)
     hosts = written(host_table(judged(docs, id_col, text_col, host_col)).filter("host_bad").select("host"))
-    n = fresh(docs, "failed")
-    failed = sum((c.cast("int") for c in flags(docs[f"`{text_col}`"].cast("string")).values()), F.lit(0))
+    n, text = fresh(docs, "failed"), fresh(docs, "text")
+    own = docs[f"`{text_col}`"].cast("string")
+    fails = flags(own)
+    failed = sum((c.cast("int") for c in fails.values()), F.lit(0))
+    once = F.when(fails["lines"], F.array_join(F.array_distinct(F.split(own, "\n")), "\n")).otherwise(own)
+    at = len(docs.columns) + 1
+    names = [*docs.columns, n]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, k in slices(batch.column(at)):
+                part = batch.slice(begin, k)
+                yield pa.RecordBatch.from_arrays(part.columns[:at], names=names).filter(pa.array(~repetitive(part.column(at))))
+
     rest = docs.withColumn(n, failed).filter(F.col(n) < REJECT_AT)
+    rest = rest.withColumn(text, once).mapInArrow(run, rest.schema)
     name = fresh(docs, "host")
     bad = hosts.withColumnRenamed("host", name)
     return rest.join(bad, rest[f"`{host_col}`"].cast("string").eqNullSafe(bad[name]) & (rest[n] >= 1), "left_anti").drop(n)

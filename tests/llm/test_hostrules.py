@@ -59,3 +59,19 @@ def test_few_hosts_and_empty(spark, hosts):
     df = spark.createDataFrame([(i, CLEAN, f"h{i % hosts}") for i in range(9)], "doc_id long, text string, source string")
     assert all(r.host_rate == 0 and not r.rejected for r in hostrules.verdicts(df).collect())
     assert hostrules.verdicts(df.limit(0)).count() == 0 and hostrules.accepted(df.limit(0)).count() == 0
+
+
+def test_repeated_words_go_and_plain_texts_stay(spark):
+    import random
+
+    r = random.Random(3)
+    vocab = ["".join(r.choices("abcdefghijk", k=r.randint(2, 8))) for _ in range(600)]
+    plain = [" ".join(r.choices(vocab, [1 / (k + 3) for k in range(600)], k=n)) for n in (3, 30, 300, 3000)]
+    junk = ["The " * 40, "Ordinary words first. " + "Ciónmenteueó. " * 60, "\n".join(["Tiny line"] * 30), " ".join(w for x in "the of and to".split() for w in [x] * 25)]
+    lines = "\n".join(" ".join([w] * 15) for w in ["Esthes", "Esthes", "Esthes", "Esthes", "Anders"])
+    docs = [(i, t, "h") for i, t in enumerate([*plain, "no no no", "", None, ONE])] + [(100 + i, t, "h") for i, t in enumerate([*junk, lines])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 __text", "2 __failed")
+    kept = hostrules.accepted(df)
+    assert kept.schema == df.schema
+    assert sorted(x.doc_id for x in kept.collect()) == list(range(8))
+    assert not any(x.rejected for x in hostrules.verdicts(df).collect())
