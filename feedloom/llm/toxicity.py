@@ -2,9 +2,9 @@
 
 Two word-bigram models, one of toxic and one of ordinary labelled documents, are interpolated: discounted bigram counts, then discounted
 class counts, then backoff counts that both share. Counts are continuation counts throughout (distinct preceding words), so that a passage
-copied many times counts once. An expression met with too few distinct words before it is rare and takes the shared distribution in both
-classes, so it can't tell them apart by chance. A document's score is the difference of the two log-likelihoods per word; documents above
-the threshold that does best on held-out labels are toxic.
+copied many times counts once. An expression met with few distinct words before it takes the shared distribution in both classes, unless
+its counts tell the classes apart by more than chance; so rare expressions count, but not by accident. A document's score is the difference
+of the two log-likelihoods per word; documents above the threshold that does best on held-out labels are toxic.
 
 The classes are fitted on a bounded, balanced sample of the labelled documents; the shared backoff counts come from all documents.
 """
@@ -30,6 +30,8 @@ FOLDS = 5
 DISCOUNT = 0.75
 #: An expression is rare below (documents of a class) ** RARE distinct preceding words; a bigram, below BIGRAM times as many.
 RARE, BIGRAM = 0.6, 3
+#: But none is rare that has LEAST of them, if the classes' counts are this many standard deviations from what chance would share out.
+LEAST, APART = 5, 3.0
 BROADCAST_ROWS = 1_000_000
 MAX_WORDS = 1 << 20
 
@@ -120,16 +122,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_class: int = MAX_CLASS, max_held
 
     def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, k in slices(batch.column(0)):
-                h, doc = _words(batch.column(0).slice(at, k))
+            for at, k in slices(batch.column(1)):
+                h, doc = _words(batch.column(1).slice(at, k))
+                part = batch.column(0).slice(at, k).to_numpy()
                 order = np.lexsort((h, doc))
                 h, doc = h[order], doc[order]
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                kinds, count = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(count, pa.int64())], names=["h", "n"])
-
-    frequent = train.select("text").mapInArrow(seen_in, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+                kinds, which, count = np.unique(h[new], return_inverse=True, return_counts=True)
+                toxic = np.bincount(which, part[doc[new]] == 1, len(kinds)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(count, pa.int64()), pa.array(toxic)], names=["h", "n", "toxic"])
+
+    seen = train.select("part", "text").mapInArrow(seen_in, "h bigint, n bigint, toxic bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    # Of words in few documents, those that the two classes, which are of one size, share by chance can't tell them apart.
+    apart = (F.col("n") >= LEAST) & (F.abs(2 * F.col("toxic") - F.col("n")) >= APART * F.sqrt("n"))
+    frequent = seen.filter((F.col("n") >= least) | apart)
     frequent = frequent.orderBy(F.desc("n"), "h").limit(MAX_WORDS - 2).select("h")
     keys = np.sort(frequent.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
     start = len(keys) + 1
@@ -170,22 +177,31 @@ def _own_counts(pair: np.ndarray, count: np.ndarray, m: int) -> tuple[np.ndarray
     return np.bincount(pair % m, minlength=m).astype(float), np.bincount(pair // m, count, m)
 
 
+def _apart(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether the classes' counts of each expression are apart by more than chance, where it has LEAST or more. total: of each class."""
+    toxic, both = total[0] / max(total.sum(), 1), n.sum(0)
+    return (both >= LEAST) & (np.abs(n[0] - both * toxic) >= APART * np.sqrt(both * toxic * (1 - toxic)))
+
+
 def estimate(keys: np.ndarray, cont: np.ndarray, context: np.ndarray, bigrams: dict, shared: np.ndarray, least: int) -> Model:
     """Interpolated Kneser-Ney. Row 0 of each count is the toxic class; word 0 stands for all words that aren't keys."""
     start = len(keys) + 1
     m = start + 1
     base = (shared + 1) / (shared + 1).sum()
-    rare = cont.sum(0) < least
-    rare[0] = False
     total = np.maximum(cont.sum(1, keepdims=True), 1)
-    kept = np.where(rare, 0, np.maximum(cont - DISCOUNT, 0)) / total
-    word = kept + (1 - kept.sum(1, keepdims=True)) * base
     every = np.unique(np.concatenate([bigrams[0][0], bigrams[1][0]]))
     n = np.zeros((2, len(every)))
     for i in (0, 1):
         n[i, np.searchsorted(every, bigrams[i][0])] = bigrams[i][1]
+    often = (n.sum(0) >= BIGRAM * least) | _apart(n, n.sum(1))
+    rare = (cont.sum(0) < least) & ~_apart(cont, total[:, 0])
+    # Nor is a word that always follows the same few words, if it does so after many others.
+    rare[every[often] % m] = False
+    rare[0] = False
+    kept = np.where(rare, 0, np.maximum(cont - DISCOUNT, 0)) / total
+    word = kept + (1 - kept.sum(1, keepdims=True)) * base
     common = np.append(~rare, True)
-    keep = (n.sum(0) >= BIGRAM * least) & (every % m != 0) & common[every % m] & common[every // m]
+    keep = often & (every % m != 0) & common[every % m] & common[every // m]
     pair, n = every[keep], n[:, keep]
     before, after = pair // m, pair % m
     kept2 = np.maximum(n - DISCOUNT, 0) / np.maximum(context[:, before], 1)

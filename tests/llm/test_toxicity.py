@@ -36,6 +36,29 @@ def test_held_out_accuracy(spark):
     assert hits >= 0.9 * sum(truth[i] for i in unseen) and hits >= 0.9 * sum(found)
 
 
+def test_rare_insults_and_fixed_preceding_words(spark):
+    r = random.Random(6)
+    vocab = ["".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(400)]
+    weight = [1 / (k + 1) for k in range(len(vocab))]
+
+    def text(insult, fixed=False):
+        w = r.choices(vocab, weight, k=20)
+        for _ in range(2):
+            at = r.randrange(len(w))
+            w[at:at] = [vocab[0], insult] if fixed else [insult]
+        return " ".join(w)
+
+    # Of 2,600 toxic documents, 13 have an insult that no other has; 130 have one that always follows the commonest word.
+    toxic = [text("scumwort") for _ in range(13)] + [text("mudbrain", True) for _ in range(130)] + [text(r.choice(BAD)) for _ in range(2457)]
+    plain = [" ".join(r.choices(vocab, weight, k=22)) for _ in range(2600)]
+    probes = [text("scumwort") for _ in range(40)] + [text("mudbrain", True) for _ in range(40)] + [" ".join(r.choices(vocab, weight, k=22)) for _ in range(400)]
+    docs = list(enumerate(toxic + plain + probes))
+    labels = [(i, int(i < len(toxic))) for i in range(len(toxic) + len(plain))]
+    got = {x.doc_id: x.toxic for x in toxicity.scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    found = [got[i] for i in range(len(labels), len(docs))]
+    assert sum(found[:40]) >= 36 and sum(found[40:80]) >= 36 and sum(found[80:]) <= 8
+
+
 def brute(texts, parts, everything, keys, least):
     """The same model by plain counting."""
     import re
