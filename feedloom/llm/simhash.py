@@ -170,7 +170,7 @@ def masks(n: int) -> list[int]:
     if not k:
         return [0]
     k = min(k, 40)
-    together = (1 - RECALL_AT / 64) ** k
+    together = math.comb(64 - RECALL_AT, k) / math.comb(64, k)  # the bits of a mask are distinct
     rng = np.random.default_rng(20_240_229)
     bits = [np.sort(rng.permutation(64)[:k]) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - together)))]
     return [sum(1 << int(b) for b in row) for row in bits]

@@ -100,3 +100,12 @@ def test_awkward_rows(spark, extra):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.groups(df).count() == 0 and simhash.deduplicated(df).count() == 0
+
+
+def test_masks_reach_the_recall_at_every_size():
+    import math
+
+    for n in (250_000, 15_000_000, 300_000_000):
+        found = simhash.masks(n)
+        k = found[0].bit_count()
+        assert 1 - (1 - math.comb(64 - simhash.RECALL_AT, k) / math.comb(64, k)) ** len(found) >= simhash.RECALL
