@@ -20,11 +20,20 @@ def first_by(items: DataFrame, key: Column, order: str = "ord") -> DataFrame:
     return items.withColumn("__n", F.row_number().over(at)).filter("__n = 1").drop("__n")
 
 
+def staged_rows(rows: DataFrame, names: list[str], order: str = "ord") -> DataFrame:
+    """First by each of these columns in turn among what the columns before left. A row that a later stage drops has still taken its earlier
+    keys. Every stage shuffles whole rows, so rows should be narrow."""
+    for name in names:
+        rows = first_by(rows, F.col(name), order)
+    return rows
+
+
 def staged(items: DataFrame, keys: list[Column], order: str = "ord") -> DataFrame:
-    """First by each key in turn among what the stages before left. A row that a later stage drops has still taken its earlier keys."""
-    for key in keys:
-        items = first_by(items, key, order)
-    return items
+    """items that staged_rows() leaves by these keys. The keys are worked out once, and they and `order`, which is unique, alone go through
+    the stages; the items meet what is left in one join."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    rows = items.select(F.col(order), *[k.alias(n) for k, n in zip(keys, names)])
+    return items.join(staged_rows(rows, names, order).select(order), order, "left_semi")
 
 
 def young(items: DataFrame, now: Column, seconds: int = 24 * 3600, published: str = "published") -> DataFrame:

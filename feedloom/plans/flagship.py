@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import content_key, normalize_url, similarity_key
 from ..functions.scoring import scored
 from ..operators.checkpoints import cut
-from ..operators.dedup import distinct_titles, staged, young
+from ..operators.dedup import distinct_titles, staged_rows, young
 from ..operators.select import POOL, diverse, ranked
 
 
@@ -19,9 +19,11 @@ def dedup_keys(now: Column) -> list[Column]:
 
 def curated(items: DataFrame, now: Column, vocabularies: dict | None = None, limit: int = 8, max_age: int = 24 * 3600, per_source: int = 2, per_category: int = 2) -> DataFrame:
     """position, ord, title, source_name, category and score of the chosen items."""
-    fresh = staged(young(items, now, max_age), dedup_keys(now))
-    # Without the texts, and worked out once: the titles' rounds and the choice both start from it.
-    good = cut(scored(fresh, vocabularies).filter("score <> 0").select("ord", "title", "link", "published", "source_name", "category", "score"))
+    keys = dict(zip(("__link", "__content", "__bucket"), dedup_keys(now)))
+    # Keys and scores are worked out where the texts are read, so that no text is shuffled; scores of later copies are the price.
+    rows = scored(young(items, now, max_age), vocabularies).select("ord", "title", "link", "published", "source_name", "category", "score", *[k.alias(n) for n, k in keys.items()])
+    # The titles' rounds and the choice both start from it.
+    good = cut(staged_rows(rows, list(keys)).filter("score <> 0").drop(*keys))
     good = distinct_titles(good)
     pool = ranked(good, POOL * limit)
     chosen = diverse(pool, limit, per_source, per_category)

@@ -137,7 +137,9 @@ STAGED = f"""(select * from (select *, row_number() over (partition by sim_key o
 
 @query(f"select ord, sim_key from {STAGED}")
 def dedup_staged(spark, d):
-    return dedup.staged(items(spark, d), dedup_keys(now())).select("ord", dedup_keys(now())[2].alias("sim_key"))
+    url, content, sim = dedup_keys(now())
+    rows = items(spark, d).select("ord", url.alias("url_key"), content.alias("content_key"), sim.alias("sim_key"))
+    return dedup.staged_rows(rows, ["url_key", "content_key", "sim_key"]).select("ord", "sim_key")
 
 
 def shingles_sql(relation: str) -> str:

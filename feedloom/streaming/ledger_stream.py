@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import shared_base
 from ..operators.ledger import cutoff, unsent, upserted
 
 
@@ -18,32 +19,46 @@ def distinct_stream(items: DataFrame, keys: list[str], at: str = "published", la
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="feedloom-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder under shared_base()."""
+    return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
 class LedgerSink:
-    """foreachBatch: sends what the ledger doesn't have and upserts it. Each batch writes a new version of the ledger, named after the batch,
-    so a batch that is run again after a failure writes the same one over and sends nothing that an earlier batch recorded."""
-
-    def __init__(self, spark: SparkSession, uri: str, empty: DataFrame, send: Callable[[DataFrame], DataFrame] | None = None):
-        self.spark, self.uri, self.schema, self.send = spark, uri, empty.schema, send or (lambda rows: rows)
-        self.version = -1
+    """foreachBatch: sends what the ledger doesn't have and upserts it.
+
+    Each batch writes the ledger's next version; the latest one that was written whole is the ledger, also for a sink made anew after a
+    restart. A batch that is run again is held against the ledger as it is, so what it recorded before is not sent once more; one that
+    failed before its version was whole had recorded nothing and is sent again. All but the last `kept` versions are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, uri: str, empty: DataFrame, send: Callable[[DataFrame], DataFrame] | None = None, kept: int = 3):
+        self.spark, self.uri, self.schema, self.send, self.kept = spark, uri.rstrip("/"), empty.schema, send or (lambda rows: rows), max(1, kept)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.uri).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Of those that were written whole, in order."""
+        root = self._path(self.uri)
+        if not self._fs.exists(root):
+            return []
+        found = [int(n[1:]) for s in self._fs.listStatus(root) if re.fullmatch(r"v\d+", n := s.getPath().getName())]
+        return sorted(n for n in found if self._fs.exists(self._path(f"{self.uri}/v{n}/_SUCCESS")))
 
     def ledger(self) -> DataFrame:
-        if self.version < 0:
+        whole = self.versions()
+        if not whole:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.uri}/v{self.version}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.uri}/v{whole[-1]}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = self.ledger()
+        whole, before = self.versions(), self.ledger()
         latest = batch.agg(F.max("sent_at")).first()[0]
         if latest is None:
             return
         fresh = self.send(unsent(batch, before, F.lit(latest), by=("hash",)).dropDuplicates(["hash"]))
-        upserted(before, fresh).write.mode("overwrite").parquet(f"{self.uri}/v{batch_id}")
-        self.version = batch_id
+        upserted(before, fresh).write.mode("overwrite").parquet(f"{self.uri}/v{whole[-1] + 1 if whole else 0}")
+        for n in whole[: -self.kept]:
+            self._fs.delete(self._path(f"{self.uri}/v{n}"), True)
 
 
 def drained_counts(spark: SparkSession, path: str, now: Column, at: Column) -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from feedloom.sources import feeds
@@ -59,6 +60,45 @@ def test_ledger_sink_is_idempotent(spark, tmp_path):
     assert sorted(sent) == ["a", "b"] and sorted(r.hash for r in sink.ledger().collect()) == ["a", "b"]
 
 
+def test_ledger_sink_remembers_after_a_restart(spark, tmp_path):
+    schema = "hash string, title string, link string, category string, source string, sent_at timestamp"
+
+    def batch(*hashes):
+        return spark.createDataFrame([(h, "t", "l", "c", "s") for h in hashes], "hash string, title string, link string, category string, source string").withColumn("sent_at", F.timestamp_seconds(F.lit(1_704_067_200)))
+
+    sent, uri, empty = [], f"file://{tmp_path}/ledger", spark.createDataFrame([], schema)
+
+    def send(rows):
+        sent.append(sorted(r.hash for r in rows.collect()))
+        return rows
+
+    ledger_stream.LedgerSink(spark, uri, empty, send)(batch("a"), 0)
+    ledger_stream.LedgerSink(spark, uri, empty, send)(batch("a", "b"), 1)
+    # A version that wasn't written whole is no version.
+    (tmp_path / "ledger" / "v2").mkdir()
+    again = ledger_stream.LedgerSink(spark, uri, empty, send, kept=1)
+    assert again.versions() == [0, 1] and sorted(r.hash for r in again.ledger().collect()) == ["a", "b"]
+    again(batch("a", "b"), 1)
+    again(batch("c"), 2)
+    assert sent == [["a"], ["b"], [], ["c"]]
+    assert sorted(r.hash for r in again.ledger().collect()) == ["a", "b", "c"] and len(again.versions()) == 2
+
+
+def test_shared_folder_is_named_or_local(spark):
+    from types import SimpleNamespace
+
+    from feedloom.operators.checkpoints import shared_base
+
+    def session(master, base=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: base), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_base(session("yarn", "hdfs:///x/")) == "hdfs:///x"
+    assert shared_base(session("local[4]")).startswith("file:///")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_base(session(master))
+
+
 def test_stream_keeps_first_of_each_key(spark, tmp_path):
     rows = [(1, "k", "2024-01-01 00:00:00"), (2, "k", "2024-01-01 01:00:00"), (3, "m", "2024-01-01 00:00:00")]
     df = spark.createDataFrame(rows, "ord long, k string, published string").withColumn("published", F.col("published").cast("timestamp"))
