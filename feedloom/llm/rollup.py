@@ -1,13 +1,15 @@
 """Delta-maintained token totals.
 
 Totals by source, language and tokenizer version are sums of signed changes: an insert adds a document's tokens, a delete takes them away, a
-revision adds the difference. A batch of changes is reduced to one row a group, written aside and renamed to its batch's folder; the rename
-is the commit. A batch that is there already is not applied again, so a batch may be sent again after any failure. Compaction folds the
-batches so far into a snapshot that names them.
+revision adds the difference. A batch of changes is reduced to one row a group and written to a folder of its own; the commit is a marker
+named after the batch, which is made only if it isn't there, by one step of the file system. So of writers of one batch just one applies it,
+and a batch may be sent again after any failure. Compaction folds the batches so far into a snapshot, committed in the same way, that
+lists them, and deletes their folders and markers. A batch that the snapshot lists counts for nothing, whatever markers come later.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
@@ -43,56 +45,108 @@ class Rollup:
         jvm = spark._jvm.org.apache.hadoop.fs
         self._path = jvm.Path
         self._fs = jvm.Path(self.uri).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.uri))
 
     def _names(self, prefix: str) -> list[str]:
-        root = self._path(self.uri)
-        if not self._fs.exists(root):
-            return []
-        return sorted(n for s in self._fs.listStatus(root) if (n := s.getPath().getName()).startswith(prefix))
-
-    def _put(self, df: DataFrame, name: str) -> bool:
-        """Whether it was this call that made the folder `name`."""
+        return sorted(n for s in self._fs.listStatus(self._path(self.uri)) if (n := s.getPath().getName()).startswith(prefix))
+
+    def _claim(self, name: str, folder: str) -> bool:
+        """Make the marker `name`, which says `folder`; whether it was this call that made it. Local disks have links, which fail if the
+        name is taken; on other file systems a file is renamed, which does the same."""
+        aside = self._path(f"{self.uri}/_marker-{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(folder.encode()))
+        out.close()
         target = self._path(f"{self.uri}/{name}")
-        if self._fs.exists(target):
-            return False
-        aside = f"{self.uri}/_aside-{uuid.uuid4().hex}"
-        df.write.parquet(aside)
-        # A rename onto a folder that has come into being since would move into it; so that is looked at again, and one writer is assumed.
-        won = not self._fs.exists(target) and self._fs.rename(self._path(aside), target)
-        if not won:
-            dropped(self.spark, aside)
-        return won
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                try:
+                    os.link(aside.toUri().getPath(), target.toUri().getPath())
+                    return True
+                except FileExistsError:
+                    return False
+            return not self._fs.exists(target) and self._fs.rename(aside, target)
+        finally:
+            self._fs.delete(aside, False)
+
+    def _said(self, name: str) -> str:
+        file = self._fs.open(self._path(f"{self.uri}/{name}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
+
+    def _snapshot(self) -> str | None:
+        last = (self._names("snapshot-") or [None])[-1]
+        return last and self._said(last)
+
+    def _listed(self, snapshot: str | None, ids: list[str]) -> set[str]:
+        """Which of these batches the snapshot holds."""
+        if not snapshot or not ids:
+            return set()
+        return {r.batch for r in self.spark.read.parquet(f"{self.uri}/{snapshot}/batches").filter(F.col("batch").isin(ids)).collect()}
+
+    def _open(self, snapshot: str | None) -> list[str]:
+        """Markers' names of the batches since the snapshot."""
+        names = self._names("batch-")
+        done = self._listed(snapshot, [n.removeprefix("batch-") for n in names])
+        return [n for n in names if n.removeprefix("batch-") not in done]
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch once; whether it was applied now."""
         if not re.fullmatch(r"[A-Za-z0-9_.]+", batch_id):
             raise ValueError(f"batch id {batch_id!r}")
-        return self._put(signed(changes), f"batch-{batch_id}")
-
-    def _folded(self) -> tuple[str | None, set[str]]:
-        last = (self._names("snapshot-") or [None])[-1]
-        return last, {r.batch for r in self.spark.read.parquet(f"{self.uri}/{last}/batches").collect()} if last else set()
-
-    def totals(self) -> DataFrame:
-        """n_docs and n_tokens by group; groups in which no document is left and no token counted are left out."""
-        last, done = self._folded()
-        parts = [f"{self.uri}/{b}" for b in self._names("batch-") if b not in done] + ([f"{self.uri}/{last}/totals"] if last else [])
+        name, folder = f"batch-{batch_id}", f"data-{uuid.uuid4().hex}"
+        if self._fs.exists(self._path(f"{self.uri}/{name}")) or self._listed(self._snapshot(), [batch_id]):
+            return False
+        signed(changes).write.parquet(f"{self.uri}/{folder}")
+        if self._claim(name, folder):
+            # Between the look and the claim a compaction may have folded another writer's batch and removed its marker.
+            if not self._listed(self._snapshot(), [batch_id]):
+                return True
+            dropped(self.spark, f"{self.uri}/{name}")
+        dropped(self.spark, f"{self.uri}/{folder}")
+        return False
+
+    def _sums(self, snapshot: str | None, names: list[str]) -> DataFrame:
+        parts = [f"{self.uri}/{self._said(n)}" for n in names] + ([f"{self.uri}/{snapshot}/totals"] if snapshot else [])
         if not parts:
             return self.spark.createDataFrame([], SCHEMA)
         sums = self.spark.read.schema(SCHEMA).parquet(*parts).groupBy(*KEYS).agg(*[F.sum(v).alias(v) for v in VALUES])
         return sums.filter("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold all batches into a snapshot. What it replaces is deleted only once it is there; a batch sent again is still known."""
-        last, done = self._folded()
-        batches = sorted(done | set(self._names("batch-")))
-        name = f"snapshot-{int(last.split('-')[1]) + 1 if last else 0:012d}"
-        aside = f"{self.uri}/_aside-{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(b,) for b in batches], "batch string").write.parquet(f"{aside}/batches")
-        self._fs.rename(self._path(aside), self._path(f"{self.uri}/{name}"))
-        if last:
-            dropped(self.spark, f"{self.uri}/{last}")
+    def totals(self) -> DataFrame:
+        """n_docs and n_tokens by group; groups in which no document is left and no token counted are left out. To be read before the next
+        compaction but one, which deletes what this one reads."""
+        snapshot = self._snapshot()
+        return self._sums(snapshot, self._open(snapshot))
+
+    def compact(self) -> bool:
+        """Fold all batches into a snapshot; whether it was this call's that counts. What it replaces is deleted only once it counts; the
+        snapshot before stays for those who read it."""
+        old = self._names("snapshot-")
+        snapshot = self._snapshot()
+        there = self._names("batch-")
+        names = self._open(snapshot)
+        folder = f"data-{uuid.uuid4().hex}"
+        try:
+            self._sums(snapshot, names).write.parquet(f"{self.uri}/{folder}/totals")
+            listed = self.spark.createDataFrame([(n.removeprefix("batch-"),) for n in names], "batch string")
+            if snapshot:
+                listed = listed.union(self.spark.read.parquet(f"{self.uri}/{snapshot}/batches"))
+            listed.write.parquet(f"{self.uri}/{folder}/batches")
+        except Exception:
+            dropped(self.spark, f"{self.uri}/{folder}")
+            if self._snapshot() == snapshot:
+                raise
+            return False  # another compaction has deleted what this one read
+        if not self._claim(f"snapshot-{int(old[-1].split('-')[1]) + 1 if old else 0:012d}", folder):
+            dropped(self.spark, f"{self.uri}/{folder}")
+            return False
+        for name in [*there, *old[:-1]]:
+            dropped(self.spark, f"{self.uri}/{self._said(name)}")
+            dropped(self.spark, f"{self.uri}/{name}")
+        return True
 
 
 def token_counts(docs: DataFrame, version: str, tokenizer: str = RANKS) -> DataFrame:

@@ -159,6 +159,46 @@ def test_rollup_is_idempotent_and_additive(spark):
         kept.commit("../x", changes(spark, []))
 
 
+@pytest.mark.parametrize("compacts", [False, True])
+def test_two_writers_of_one_batch(spark, monkeypatch, compacts):
+    one = rollup.Rollup(spark)
+    other, real = rollup.Rollup(spark, one.uri), rollup.signed
+    rows = changes(spark, [("insert", "a", "en", "v1", 5, None, 0, "x")])
+
+    def slow(c):
+        monkeypatch.setattr(rollup, "signed", real)
+        assert other.commit("b", c)
+        assert not compacts or other.compact()
+        return real(c)
+
+    monkeypatch.setattr(rollup, "signed", slow)
+    assert not one.commit("b", rows)
+    assert [(t.n_docs, t.n_tokens) for t in one.totals().collect()] == [(1, 5)]
+    assert not other.commit("b", rows)
+
+
+def test_two_compactions_and_what_they_leave(spark, monkeypatch):
+    one = rollup.Rollup(spark)
+    other = rollup.Rollup(spark, one.uri)
+    rows = changes(spark, [("insert", "a", "en", "v1", 5, None, 0, "x")])
+    assert all(one.commit(f"b{k}", rows) for k in range(3))
+    sums = one._sums
+
+    def slow(*x):
+        one._sums = sums
+        assert other.compact()
+        return sums(*x)
+
+    one._sums = slow
+    assert not one.compact()
+    assert one.totals().first().n_docs == 3
+    assert one._names("batch-") == [] and len(one._names("data-")) == 1
+    assert one.commit("b3", rows) and one.compact() and one.totals().first().n_docs == 4
+    assert not one.commit("b1", rows)
+    assert one.commit("b4", rows) and one.compact()
+    assert len(one._names("snapshot-")) == len(one._names("data-")) == 2 and one.totals().first().n_docs == 5
+
+
 def test_maintained_against_a_recount(spark):
     r = random.Random(5)
     docs = [(i, prose(r, r.randrange(30)), r.choice(["s1", "s2", None]), r.choice(["en", "de"])) for i in range(100)] + [(200, None, "s1", "en"), (7, "twice", "s1", "en"), (7, "twice", "s1", "en")]
