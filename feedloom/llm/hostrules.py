@@ -120,16 +120,35 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return found.join(hosts, found.host.eqNullSafe(hosts.h)).drop("h").withColumn("rejected", _rejects(F.col("n_failed"), F.col("host_bad")))
 
 
+def domain(url: Column) -> Column:
+    """The host of a URL, in lower case, without user, port, final dot and a leading "www."; null where there is none."""
+    authority = F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s]*)", 1)
+    host = F.regexp_replace(F.lower(F.regexp_replace(authority, r"^.*@", "")), r":\d*$|\.(:\d*)?$", "")
+    return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
+
+
+def with_domain(pages: DataFrame, url_col: str = "url", host_col: str = "source") -> DataFrame:
+    """pages with the URL's domain as host_col, for verdicts() and accepted()."""
+    return pages.withColumn(host_col, domain(pages[f"`{url_col}`"].cast("string")))
+
+
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs but for the rows that verdicts() rejects and for repetitive() texts; all columns stay as they are. Only hosts with bad verdicts are
-    joined. Where `lines` fails, lines that repeat are its matter, and repetition is looked for in the distinct ones."""
+    """docs but for the rows that verdicts() rejects and for repetitive() texts; all columns stay as they are. A null text is kept on any
+    host, though it counts for its host as in verdicts().
+
+    The rules are put to each text once: the rows are written with their numbers of failures, from which the hosts are judged. Only hosts
+    with bad verdicts are joined. Where `lines` fails, lines that repeat are its matter, and repetition is looked for in the distinct ones.
+    """
     ship(docs.sparkSession)
-    hosts = written(host_table(judged(docs, id_col, text_col, host_col)).filter("host_bad").select("host"))
     n, text = fresh(docs, "failed"), fresh(docs, "text")
     own = docs[f"`{text_col}`"].cast("string")
     fails = flags(own)
-    failed = sum((c.cast("int") for c in fails.values()), F.lit(0))
-    once = F.when(fails["lines"], F.array_join(F.array_distinct(F.split(own, "\n")), "\n")).otherwise(own)
+    # Each rule's result is a bit.
+    bits = sum((c.cast("int") * (1 << i) for i, c in enumerate(fails.values())), F.lit(0))
+    held = written(docs.withColumn(n, bits))
+    count = F.bit_count(F.col(n))
+    found = held.select(held[f"`{host_col}`"].cast("string").alias("host"), count.alias("n_failed"), *[F.col(n).bitwiseAND(F.lit(1 << i)).cast("boolean").cast("int").alias(f"fail_{r}") for i, r in enumerate(fails)])
+    bad = written(host_table(found).filter("host_bad").select("host"))
     at = len(docs.columns) + 1
     names = [*docs.columns, n]
 
@@ -139,11 +158,15 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
                 part = batch.slice(begin, k)
                 yield pa.RecordBatch.from_arrays(part.columns[:at], names=names).filter(pa.array(~repetitive(part.column(at))))
 
-    rest = docs.withColumn(n, failed).filter(F.col(n) < REJECT_AT)
+    mine = held[f"`{text_col}`"].cast("string")
+    lines = F.col(n).bitwiseAND(F.lit(1 << list(fails).index("lines"))) > 0
+    once = F.when(lines, F.array_join(F.array_distinct(F.split(mine, "\n")), "\n")).otherwise(mine)
+    rest = held.filter(mine.isNull() | (count < REJECT_AT))
     rest = rest.withColumn(text, once).mapInArrow(run, rest.schema)
     name = fresh(docs, "host")
-    bad = hosts.withColumnRenamed("host", name)
-    return rest.join(bad, rest[f"`{host_col}`"].cast("string").eqNullSafe(bad[name]) & (rest[n] >= 1), "left_anti").drop(n)
+    bad = bad.withColumnRenamed("host", name)
+    judged_by = rest[f"`{host_col}`"].cast("string").eqNullSafe(bad[name]) & (rest[n] > 0) & rest[f"`{text_col}`"].isNotNull()
+    return rest.join(bad, judged_by, "left_anti").drop(n)
 
 
 def sql(table: str = "documents") -> str:

@@ -75,3 +75,18 @@ def test_repeated_words_go_and_plain_texts_stay(spark):
     assert kept.schema == df.schema
     assert sorted(x.doc_id for x in kept.collect()) == list(range(8))
     assert not any(x.rejected for x in hostrules.verdicts(df).collect())
+
+
+def test_a_null_text_on_a_bad_host_is_kept(spark):
+    rows = [(i, CAPS, "bad") for i in range(30)] + [(100, None, "bad"), (101, "", "bad"), (102, ONE, "bad"), (103, CLEAN, "bad")] + [(200 + i, CLEAN, "good") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id for r in hostrules.accepted(df).collect()}
+    assert kept == {100, 103, *range(200, 230)}
+
+
+def test_domains(spark):
+    urls = {"https://WWW.Example.org/a?b#c": "example.org", "http://u:p@h.example:8080/x": "h.example", "//cdn.example/x": "cdn.example", "https://example.org.:443": "example.org", "mailto:a@b.c": None, "": None, None: None, "http:///x": None}
+    df = spark.createDataFrame([(i, u, CLEAN) for i, u in enumerate(urls)], "doc_id long, url string, text string")
+    got = hostrules.with_domain(df)
+    assert [r.source for r in got.orderBy("doc_id").collect()] == list(urls.values())
+    assert hostrules.verdicts(got).count() == len(urls)
