@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.checkpoints import shared_base
+
 #: Text bytes that one vectorised step handles; a longer document is a step of its own.
 SLICE_BYTES = 1 << 20
 
@@ -25,13 +28,14 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI under spark.checkpoint.dir; only where that is unset, under a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN_DIR:
-            _OWN_DIR.append(tempfile.mkdtemp(prefix="feedloom-"))
-            atexit.register(lambda: __import__("shutil").rmtree(_OWN_DIR[0], ignore_errors=True))
-        base = "file://" + _OWN_DIR[0]
+    """A new folder's URI under spark.checkpoint.dir. Where that is unset, under a temporary folder in local mode; elsewhere an error."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and _OWN_DIR:
+        base = _OWN_DIR[0]
+    else:
+        base = shared_base(spark)
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            _OWN_DIR.append(base)
+            atexit.register(shutil.rmtree, base.removeprefix("file://"), True)
     # A folder without a scheme is of the cluster's default file system.
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
