@@ -41,7 +41,6 @@ SIGNS = 100
 BROADCAST_ROWS = 1_000_000
 #: Prefixes that a worker holds before it passes on their sums.
 HELD = 1 << 21
-_ANY = np.uint64(0)  # the root of all languages together, for documents in one that has no labels
 _END = np.uint64(0x5BD1E995)
 
 
@@ -99,41 +98,48 @@ def _member(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, at, -1)
 
 
-class Trie:
-    """The beginnings that are counted LEAST times or more, by language and for all languages together. Row 0 of a pair is toxic."""
-
-    def __init__(self, root: np.ndarray, bare: np.ndarray, up: np.ndarray, depth: np.ndarray, n: np.ndarray, kids: np.ndarray):
-        _, at, group = np.unique(bare, return_index=True, return_inverse=True)
-        k = len(at)
-        every = [np.stack([np.bincount(group, x, k) for x in m]) for m in (n, kids)]
-        root, bare, up, depth = np.concatenate([np.full(k, _ANY), root]), np.concatenate([bare[at], bare]), np.concatenate([up[at], up]), np.concatenate([depth[at], depth])
-        key = mix(bare + root)
-        order = np.argsort(key)
-        self.key, self.depth = key[order], depth[order]
-        self.n, self.kids = (np.concatenate([a, b], 1)[:, order] for a, b in zip(every, (n, kids)))
-        self.parent = np.maximum(_member(self.key, mix(up + root)[order]), 0)
-        #: The same beginning in all languages together.
-        self.twin = np.maximum(_member(self.key, mix(bare + _ANY)[order]), 0)
-        self.own = (root != _ANY)[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[self.key >> np.uint64(42)] = True
+class Keys:
+    """The beginnings that are counted LEAST times or more, by language: sorted hashes, and the languages' roots."""
+
+    def __init__(self, key: np.ndarray, roots: np.ndarray):
+        self.key, self.roots = key, roots
+        self.bits: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.key, self.roots
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     def find(self, h: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            self.bits = np.zeros(1 << 24, bool)
+            self.bits[self.key >> np.uint64(40)] = True
         out = np.full(len(h), -1, np.int64)
-        maybe = np.flatnonzero(self.bits[h >> np.uint64(42)])
+        maybe = np.flatnonzero(self.bits[h >> np.uint64(40)])
         out[maybe] = _member(self.key, h[maybe])
         return out
 
+    def settle(self, t: Tokens) -> Tokens:
+        """Give each document whose language has no labels, or is null, that language which has most of its words."""
+        strange = np.flatnonzero(_member(self.roots, t.roots) < 0)
+        if len(strange) and len(self.roots):
+            row = np.full(t.n, -1, np.int64)
+            row[strange] = np.arange(len(strange))
+            mine = np.flatnonzero(row[t.doc] >= 0)
+            h, doc = _ended(t.h[mine]), row[t.doc[mine]]
+            has = np.stack([np.bincount(doc[self.find(mix(h + r)) >= 0], minlength=len(strange)) for r in self.roots])
+            t.roots[strange] = self.roots[has.argmax(0)]
+        return t
+
     def deepest(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For the distinct words by language: the deepest node and the steps beyond it; then each word's hash and the index of its distinct one."""
         own = t.own()
-        roots = t.roots.copy()
-        roots[self.find(mix(roots)) < 0] = _ANY
-        kinds, first, which = np.unique(own, return_index=True, return_inverse=True)
-        s, e, root, h = t.starts[first], t.ends[first], roots[t.doc[first]], t.h[first]
+        _, first, which = np.unique(own, return_index=True, return_inverse=True)
+        s, e, root, h = t.starts[first], t.ends[first], t.roots[t.doc[first]], t.h[first]
         d = _steps(e - s)
         node = self.find(mix(_ended(h) + root))
-        left = np.where(node >= 0, 0, d + 1)
+        left = np.zeros(len(node), np.int64)
         rest = np.flatnonzero(node < 0)
         low, high = np.zeros(len(rest), np.int64), d[rest].copy()
         at = self.find(mix(root[rest]))
@@ -152,12 +158,30 @@ class Trie:
         return node, left, own, which
 
 
+@dataclass
+class Trie:
+    """The counts of the beginnings: each one's parent, steps, counts and numbers of continuations. Row 0 of a pair is toxic."""
+
+    keys: Keys
+    parent: np.ndarray
+    depth: np.ndarray
+    n: np.ndarray
+    kids: np.ndarray
+
+
+def trie_of(root: np.ndarray, bare: np.ndarray, up: np.ndarray, depth: np.ndarray, n: np.ndarray, kids: np.ndarray) -> Trie:
+    key = mix(bare + root)
+    order = np.argsort(key)
+    parent = np.maximum(_member(key[order], mix(up + root)[order]), 0)
+    return Trie(Keys(key[order], np.sort(root[depth == 0])), parent, depth[order], n[:, order], kids[:, order])
+
+
 @dataclass
 class Model:
     """Logarithms by node of the trie: the shared probability of the beginning and of going on as never seen, and what either class's are
     above these; then the pairs of words that classes differ in."""
 
-    trie: Trie
+    keys: Keys
     base: np.ndarray
     ratio: np.ndarray
     tail: np.ndarray
@@ -171,15 +195,15 @@ class Model:
 
     def word_lp(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Each word's log-probability in either class, and its hash within its language."""
-        node, left, own, which = self.trie.deepest(t)
+        node, left, own, which = self.keys.deepest(t)
         on = left > 0
-        lp = self.base[node] + self.ratio[:, node]
+        lp = (self.base[node] + self.ratio[:, node]).astype(float)
         lp[:, on] += self.tail[node[on]] + self.rest[:, node[on]] - np.maximum(left[on] - 1, 0) * np.log(SIGNS)
         return lp[:, which], own
 
     def log_likelihoods(self, lang: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text, and its log-likelihood in either class."""
-        t = Tokens(lang, text)
+        t = self.keys.settle(Tokens(lang, text))
         lp, own = self.word_lp(t)
         if len(self.context) and len(own):
             u = t.before(own, t.roots)
@@ -207,20 +231,18 @@ def _apart(n: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 
 def estimate(trie: Trie, seen: np.ndarray, discount: np.ndarray) -> Model:
-    """The model without pairs. seen: documents' distinct words that end at each node of a language, over all documents."""
+    """The model without pairs. seen: documents' distinct words that end at each node, over all documents."""
     up, depth, step = trie.parent, trie.depth, trie.depth > 0
-    shared = seen.astype(float)
-    shared += np.bincount(trie.twin[trie.own], shared[trie.own], len(shared))
+    shared, k = seen.astype(float), len(seen)
     for d in range(int(depth.max(initial=0)), 0, -1):
         np.add.at(shared, up[depth == d], shared[depth == d])
     shared_p = np.where(step, (shared + 0.5 / SIGNS) / (shared[up] + 0.5), 1.0)
-    known = np.bincount(up[step], shared[step], len(shared))
+    known = np.bincount(up[step], shared[step], k)
     tail = np.log((shared - known + 0.5) / (shared + 0.5) / SIGNS)
     total = trie.n[:, up]
     kept = step & _apart(trie.n, total[0] / np.maximum(total.sum(0), 1))
     back = np.where(trie.n > 0, np.minimum(discount[:, None] * trie.kids / np.maximum(trie.n, 1), 1), 1)
     p = np.maximum(trie.n - discount[:, None], 0) / np.maximum(total, 1) + back[:, up] * shared_p
-    k = len(shared)
     gone = np.bincount(up[kept], shared_p[kept], k)
     rest = np.stack([np.log(np.maximum(1 - np.bincount(up[kept], x[kept], k), 1e-9) / np.maximum(1 - gone, 1e-9)) for x in p])
     rest[:, gone == 0] = 0
@@ -231,7 +253,8 @@ def estimate(trie: Trie, seen: np.ndarray, discount: np.ndarray) -> Model:
         base[at] = base[up[at]] + np.log(shared_p[at])
         ratio[:, at] = ratio[:, up[at]] + own[:, at]
     none = np.zeros(0, np.uint64)
-    return Model(trie, base, ratio, tail, rest, none, np.zeros((2, 0)), none, np.zeros((2, 0)), np.zeros((2, 0)))
+    single = [x.astype(np.float32) for x in (base, ratio, tail, rest)]
+    return Model(trie.keys, *single, none, np.zeros((2, 0)), none, np.zeros((2, 0)), np.zeros((2, 0)))
 
 
 def _samples(docs: DataFrame, labels: DataFrame, max_class: int, max_held_out: int) -> DataFrame | None:
@@ -277,9 +300,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_class: int = MAX_CLASS, max_held
     n = count("n1", "n0")
     if not n.size or not n.max(1).all():
         return None
-    trie = Trie(*[_unsigned(nodes.column(x)) for x in ("root", "bare", "up")], nodes.column("depth").to_numpy(), n, count("k1", "k0"))
-    model = estimate(trie, shared_counts(docs, trie), discount)
-    _add_pairs(model, train, vocabulary, discount)
+    trie = trie_of(*[_unsigned(nodes.column(x)) for x in ("root", "bare", "up")], nodes.column("depth").to_numpy(), n, count("k1", "k0"))
+    model = estimate(trie, shared_counts(docs, trie.keys), discount)
+    roots = trie.n[:, trie.keys.find(mix(trie.keys.roots))]
+    del trie, nodes
+    _add_pairs(model, roots, train, vocabulary, discount)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -363,16 +388,16 @@ def _nodes(vocabulary: DataFrame) -> DataFrame:
     return total.filter(F.col("n1") + F.col("n0") >= LEAST)
 
 
-def shared_counts(docs: DataFrame, trie: Trie) -> np.ndarray:
+def shared_counts(docs: DataFrame, keys: Keys) -> np.ndarray:
     """For every node, the words that end their way there, each once for every document that holds it, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(trie)
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         total = np.zeros(len(own.key), np.int64)
         for batch in batches:
             for at, k in slices(batch.column(1)):
-                t = Tokens(batch.column(0).slice(at, k), batch.column(1).slice(at, k))
+                t = own.settle(Tokens(batch.column(0).slice(at, k), batch.column(1).slice(at, k)))
                 node, _, _, which = own.deepest(t)
                 key = np.unique(t.doc * max(len(node), 1) + which)
                 total += np.bincount(node[key % max(len(node), 1)], minlength=len(total))
@@ -381,14 +406,13 @@ def shared_counts(docs: DataFrame, trie: Trie) -> np.ndarray:
 
     got = docs.filter("text is not null").select("lang", "text").mapInArrow(count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
-    out = np.zeros(len(trie.key))
+    out = np.zeros(len(keys.key))
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out
 
 
-def _add_pairs(model: Model, train: DataFrame, vocabulary: DataFrame, discount: np.ndarray) -> None:
-    """Give the model the pairs whose counts the words' own probabilities don't explain."""
-    trie = model.trie
+def _add_pairs(model: Model, roots: np.ndarray, train: DataFrame, vocabulary: DataFrame, discount: np.ndarray) -> None:
+    """Give the model the pairs whose counts the words' own probabilities don't explain. roots: the classes' counts of all words by language."""
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,8 +429,7 @@ def _add_pairs(model: Model, train: DataFrame, vocabulary: DataFrame, discount:
                 row = np.repeat(np.arange(k), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
                 u, a, b = (x.to_numpy() for x in lists.flatten().flatten())
                 n = np.stack([a, b]).astype(float)
-                known = m.trie.find(mix(t.roots[row]))
-                odds = np.where(known >= 0, m.trie.n[:, known], 0) * np.exp(lp[:, row])
+                odds = roots[:, np.maximum(_member(m.keys.roots, t.roots[row]), 0)] * np.exp(lp[:, row])
                 ok = _apart(n, odds[0] / np.maximum(odds.sum(0), 1e-300))
                 yield pa.RecordBatch.from_arrays([pa.array(u[ok]), _long(w[row[ok]]), pa.array(n[0, ok]), pa.array(n[1, ok]), pa.array(lp[0, row[ok]]), pa.array(lp[1, row[ok]])], names=["u", "w", "n1", "n0", "p1", "p0"])
 
@@ -478,8 +501,8 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Every document's log-likelihood per word in either class, the score, and the verdict.
 
     A null text, or one without words, has null likelihoods and isn't toxic; nor is any document where a class has no labelled documents.
-    A score at the threshold is toxic. Documents whose language is null, unknown or in no column are held against all languages' counts
-    together. Rows that repeat are scored alike. Other columns are left out.
+    A score at the threshold is toxic. A document in a language that has no labelled ones is
+    read in that which has most of its words; without a column of languages all are in one. Rows that repeat are scored alike. Other columns are left out.
     """
     ship(docs.sparkSession)
     base = _base(docs, id_col, text_col, lang_col)
