@@ -28,6 +28,8 @@ SIMILARITY = 0.5
 #: Word pairs kept of a text; a text with no more than these is compared exactly.
 SKETCH = 128
 SHARD = 512
+#: A shard with more members is searched by several tasks, each of which has its tree and so many of its members as queries.
+HOT = 8192
 RECALL, RECALL_AT = 0.98, 10
 #: A broadcast side may have at most so many rows of two numbers; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -123,12 +125,13 @@ class BkTree:
         order = np.argsort(key)
         self.kids, self.key = kids[order], key[order]
 
-    def pairs(self, radius: int, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(node, query, distance) of all pairs within the radius whose node was inserted before the query."""
+    def pairs(self, radius: int, asks: np.ndarray | None = None, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(node, query, distance) of all pairs within the radius whose node was inserted before the query; `asks` says who is a query."""
         n = len(self.values)
         block = max(1, step // max(n, 1))
-        for begin in range(1, n, block):
-            query = np.arange(begin, min(begin + block, n))
+        who = np.arange(1, n) if asks is None else np.flatnonzero(asks[1:]) + 1
+        for begin in range(0, len(who), block):
+            query = who[begin : begin + block]
             node = np.zeros(len(query), np.int64)
             while len(query):
                 d = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
@@ -169,7 +172,6 @@ def masks(n: int) -> list[int]:
     k = max(0, math.ceil(math.log2(max(n, 1) / SHARD)))
     if not k:
         return [0]
-    k = min(k, 40)
     together = math.comb(64 - RECALL_AT, k) / math.comb(64, k)  # the bits of a mask are distinct
     rng = np.random.default_rng(20_240_229)
     bits = [np.sort(rng.permutation(64)[:k]) for _ in range(math.ceil(math.log(1 - RECALL) / math.log(1 - together)))]
@@ -180,23 +182,42 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """df broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _routed(fps: DataFrame, n: int) -> DataFrame:
+    """The rows of every shard: t and key (which shard), split and asks (which of its tasks, and whose query), and fps' own columns."""
+    parts = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(n))]
+    routed = fps.withColumn("r", F.explode(F.array(*parts))).select("r.t", "r.key", *fps.columns)
+    whole = (F.lit(0).alias("split"), F.lit(True).alias("asks"))
+    if n <= HOT:
+        return routed.select("*", *whole)
+    hot = written(routed.groupBy("t", "key").agg(F.count("*").alias("size")).filter(F.col("size") > HOT).select("t", "key", F.ceil(F.col("size") / HOT).cast("int").alias("tasks")))
+    if not hot.limit(1).count():
+        return routed.select("*", *whole)
+    each = routed.join(_side(hot), ["t", "key"], "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
+    each = each.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    return each.withColumn("asks", F.pmod(F.xxhash64("fp"), F.col("tasks")) == F.col("split")).drop("tasks")
+
+
 def _shards(fps: DataFrame, n: int, radius: int, crossing: bool) -> DataFrame:
     """a, b: nodes whose fingerprints some shard found within the radius; only a spanning forest, or, given labels, all with different ones."""
-    routed = None
-    parts = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(n))]
-    routed = fps.withColumn("r", F.explode(F.array(*parts))).select("r.t", "r.key", "fp", "node", *(["label"] if crossing else []))
-    routed = routed.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    routed = _routed(fps, n).select("t", "key", "split", "asks", "fp", "node", *(["label"] if crossing else []))
+    routed = routed.repartition("t", "key", "split").sortWithinPartitions("t", "key", "split", "fp")
 
     def search(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         fp = rows.column("fp").to_numpy().view(np.uint64)
         node = rows.column("node").to_numpy()
+        asks = rows.column("asks").to_numpy()
         tree = BkTree(fp)
         if crossing:
             label = rows.column("label").to_numpy()
-            got = [(a[x], b[x]) for a, b, _ in tree.pairs(radius) if (x := label[a] != label[b]).any()]
+            got = [(a[x], b[x]) for a, b, _ in tree.pairs(radius, asks) if (x := label[a] != label[b]).any()]
             a, b = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
         else:
-            a, b = forest(tree.pairs(radius), len(fp))
+            a, b = forest(tree.pairs(radius, asks), len(fp))
         return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +231,10 @@ def _shards(fps: DataFrame, n: int, radius: int, crossing: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            t, key = table.column("t").to_numpy(), table.column("key").to_numpy()
-            cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-            edges = [0, *cut.tolist(), len(t)]
-            if held and (held[-1].column("t")[-1].as_py(), held[-1].column("key")[-1].as_py()) != (t[0], key[0]):
+            at = [table.column(c).to_numpy() for c in ("t", "key", "split")]
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+            edges = [0, *cut.tolist(), len(at[0])]
+            if held and [held[-1].column(c)[-1].as_py() for c in ("t", "key", "split")] != [x[0] for x in at]:
                 yield out(pa.concat_tables(held))
                 held = []
             for x, y in zip(edges[:-1], edges[1:]):
@@ -257,11 +278,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (a hash of the text), fingerprint, group_id (the group's least doc_id) and keep, for every row.
+    """doc_id, group_id (the group's least doc_id), keep and fingerprint, for every row.
 
     Just one row of a group has keep: the one with the least doc_id; of rows that repeat whole, one. A null text belongs to no group and is
     kept. Empty texts are copies of each other. A null id comes after all others. Other columns are left out.
     """
+    return _grouped(docs, id_col, text_col, radius, similarity).select("doc_id", "group_id", "keep", "fingerprint")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """What groups() gives, and node, a hash of the text."""
     ship(docs.sparkSession)
     base = columns(docs, id_col, text_col).toDF("doc_id", "text").selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(text as string)) node", "cast(text as string) text")
 
@@ -308,22 +334,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group; groups() says which. All columns stay as they are."""
     node, mine = fresh(docs, "node"), fresh(docs, "doc")
-    found = written(groups(docs, id_col, text_col))
+    found = written(_grouped(docs, id_col, text_col))
     # Rows alike in id and text count as one here; what is dropped is usually the smaller side.
     per = found.filter("node is not null").groupBy("doc_id", "node").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
     drop = written(per.filter("not keep").select(F.col("doc_id").alias(mine), F.col("node").alias(node)))
     repeated = written(per.filter("keep and n > 1").select(F.col("doc_id").alias(mine), F.col("node").alias(node)))
     keyed = docs.withColumn(node, F.xxhash64(docs[f"`{text_col}`"].cast("string"))).withColumn(mine, docs[f"`{id_col}`"].cast("bigint"))
 
-    def side(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
     def on(df: DataFrame):
         return keyed[mine].eqNullSafe(df[mine]) & (keyed[node] == df[node]) & keyed[f"`{text_col}`"].isNotNull()
 
-    kept = keyed.join(d := side(drop), on(d), "left_anti")
+    kept = keyed.join(d := _side(drop), on(d), "left_anti")
     if repeated.limit(1).count():
-        twice = side(repeated)
+        twice = _side(repeated)
         match = kept[mine].eqNullSafe(twice[mine]) & (kept[node] == twice[node]) & kept[f"`{text_col}`"].isNotNull()
         kept = kept.join(twice, match, "left_anti").union(kept.join(twice, match, "left_semi").dropDuplicates([mine, node]))
     return kept.drop(node, mine)

@@ -50,7 +50,10 @@ def test_tree_finds_what_a_scan_finds():
     for radius in (0, 3, 12):
         d = np.bitwise_count(v[:, None] ^ v[None, :])
         want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(d <= radius, 1)))}
-        assert {(int(a), int(b)) for x in simhash.BkTree(v).pairs(radius, 5000) for a, b in zip(x[0], x[1])} == want
+        asks = rng.random(len(v)) < 0.5
+        some = {(int(a), int(b)) for x in simhash.BkTree(v).pairs(radius, asks) for a, b in zip(x[0], x[1])}
+        assert some == {p for p in want if asks[p[1]]}
+        assert {(int(a), int(b)) for x in simhash.BkTree(v).pairs(radius, step=5000) for a, b in zip(x[0], x[1])} == want
 
 
 def test_similarity_is_jaccard():
@@ -83,6 +86,35 @@ def test_sharding_keeps_recall(spark, monkeypatch):
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
 
 
+def test_hot_shards_are_split_and_find_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(list(enumerate(make(6, 150))), "doc_id long, text string")
+    want = sorted((r.doc_id, r.group_id) for r in simhash.groups(df).collect())
+    monkeypatch.setattr(simhash, "HOT", 16)
+    assert sorted((r.doc_id, r.group_id) for r in simhash.groups(df).collect()) == want
+    assert len({g for _, g in want}) < len(want)
+
+
+def test_recall_and_precision_against_true_jaccard(spark):
+    texts = make(11, 250) + ["Ein kurzer Satz, mehr nicht", "ein kurzer satz mehr nicht!"]
+    sets = []
+    for t in texts:
+        w = "".join(c if c.isalnum() else " " for c in t.lower()).split()
+        sets.append(set(zip(w, w[1:])))
+    index: dict = {}
+    for i, x in enumerate(sets):
+        for p in x:
+            index.setdefault(p, []).append(i)
+    pairs = {(a, b) for own in index.values() for a in own for b in own if a < b}
+    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+    got = {r.doc_id: r.group_id for r in simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    near = [p for p, j in jaccard.items() if j >= simhash.SIMILARITY]
+    assert len(near) > 100 and sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
+    # A group holds no text that isn't fairly like another of it.
+    for i in got:
+        mates = [j for j in got if j != i and got[j] == got[i]]
+        assert not mates or max(jaccard.get((min(i, j), max(i, j)), 0) for j in mates) >= simhash.SIMILARITY - 0.15
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_awkward_rows(spark, extra):
     long = "word other thing " * 60_000
