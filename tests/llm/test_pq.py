@@ -33,6 +33,21 @@ def test_recall_and_precision(spark):
     assert all(abs(r.cosine - u[r.vec_a] @ u[r.vec_b]) < 1e-4 for r in rows)
 
 
+def test_all_pairs_against_unaltered_brute_force(spark, monkeypatch):
+    x = vectors(800, seed=3)
+    x[50:60] = x[5]  # ten more copies of a vector that has near ones
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = brute(x, pq.COSINE)
+    pairs = pq.near_pairs(df)
+    rows = pq.all_pairs(pairs).collect()
+    got = {(r.vec_a, r.vec_b) for r in rows}
+    assert len(rows) == len(got) and len(got & want) >= 0.9 * len(want) and got <= brute(x, pq.COSINE - 1e-4)
+    assert {p for p in want if set(p) <= {5, *range(50, 60)}} <= got
+    # Lists that are searched by several tasks give the same.
+    monkeypatch.setattr(pq, "HOT", 7)
+    assert sorted(map(tuple, pq.near_pairs(df).collect())) == sorted(map(tuple, pairs.collect()))
+
+
 def test_look_up_is_the_distance_to_the_decoded():
     rng = np.random.default_rng(1)
     ix = pq.Index(rng.normal(size=(4, 16)).astype(np.float32), rng.normal(size=(8, 256, 2)).astype(np.float32))
