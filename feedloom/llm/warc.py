@@ -3,6 +3,10 @@
 Files are planned into partitions of about equal bytes. Predicates on a record's type and headers are pushed into the reader, which parses a
 record's headers first: where they don't match, an uncompressed payload is sought past and a compressed one is inflated without being kept,
 and neither is parsed. The payload's HTTP headers are split off; the rest stays bytes, so nothing is decoded that a query doesn't ask for.
+
+A damaged stretch doesn't end a file: reading goes on at the next record or gzip member. The mode says what becomes of the stretch, as with
+Spark's own sources: a row of warc_type "damaged" whose content_length is the bytes passed over (PERMISSIVE), nothing (DROPMALFORMED), or
+an error (FAILFAST).
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ ARROW = pa.schema(
 #: Bytes of files to a partition, and of payload to a batch.
 PARTITION_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
 READ = 1 << 18
+#: A header block that is longer is damage.
+MAX_HEADER = 1 << 20
+DAMAGED = "damaged"
+MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
 
 @dataclass
@@ -73,11 +81,15 @@ def holds(f: Filter, record: dict) -> bool:
     return _TESTS[type(f)](record.get(f.attribute[0]), f)
 
 
+class _Damage(Exception):
+    """A gzip member that can't be inflated was left; so many of its bytes were passed over, and the next member comes next."""
+
+
 class _Plain:
     """Records of an uncompressed file; what isn't wanted is sought past."""
 
     def __init__(self, file):
-        self.file, self.buffer, self.at, self.base = file, b"", 0, 0
+        self.file, self.buffer, self.at, self.base, self.began = file, b"", 0, 0, 0
 
     def _more(self) -> bool:
         chunk = self.file.read(READ)
@@ -85,17 +97,21 @@ class _Plain:
         return bool(chunk)
 
     def header(self) -> bytes | None:
-        """The next record's header block, with the white space before it left out; None at the end of the file."""
+        """The next record's header block, with the white space before it left out; empty if there is none to be found in what comes; None at
+        the end of the file."""
         while True:
             while self.buffer[self.at : self.at + 1] in (b"\r", b"\n"):
                 self.at += 1
+            self.began = self.base + self.at
             end = self.buffer.find(b"\r\n\r\n", self.at)
             if end >= 0:
                 block = self.buffer[self.at : end]
                 self.at = end + 4
                 return block
+            if len(self.buffer) - self.at > MAX_HEADER:
+                return b""
             if not self._more():
-                return None
+                return b"" if self.at < len(self.buffer) else None
 
     def payload(self, n: int) -> bytes:
         while len(self.buffer) - self.at < n and self._more():
@@ -112,6 +128,23 @@ class _Plain:
             self.file.seek(self.base)
             self.buffer, self.at = b"", 0
 
+    def resume(self) -> int:
+        """Go on at the next line that a record may begin with; the bytes since the last header block began."""
+        self.at = max(0, self.began - self.base) + 1
+        while True:
+            found = self.buffer.find(b"\nWARC/", max(0, self.at - 1))
+            if found >= 0:
+                self.at = found + 1
+                return self.base + self.at - self.began
+            self.at = max(self.at, len(self.buffer) - 5)
+            if not self._more():
+                self.base, self.buffer, self.at = self.base + len(self.buffer), b"", 0
+                return self.base - self.began
+
+    def forget(self) -> None:
+        self.buffer, self.at = b"", 0
+        self.base = self.file.pos
+
 
 class _Inflated:
     """A read-only view of a file of gzip members. Seeking forward inflates without keeping."""
@@ -119,13 +152,30 @@ class _Inflated:
     def __init__(self, file):
         self.file, self.raw, self.pos = file, b"", 0
         self.z = zlib.decompressobj(31)
-        self.ended = False
+        self.ended = self.inside = False
+
+    def _next_member(self) -> int:
+        """Leave the member that is being read for the next one; the bytes passed over, of what was read last."""
+        passed, tail = 0, self.raw[1:]
+        while True:
+            found = tail.find(b"\x1f\x8b\x08")
+            if found >= 0:
+                self.raw = tail[found:]
+                break
+            more = self.file.read(READ)
+            passed += max(0, len(tail) - 2) if more else len(tail)
+            if not more:
+                self.raw, found, self.ended = b"", 0, True
+                break
+            tail = tail[-2:] + more
+        self.z, self.inside = zlib.decompressobj(31), False
+        return passed + found + 1
 
     def read(self, n: int) -> bytes:
         while not self.ended:
             if self.z.eof:
                 self.raw = self.z.unused_data or self.raw
-                self.z = zlib.decompressobj(31)
+                self.z, self.inside = zlib.decompressobj(31), False
                 if not self.raw:
                     self.raw = self.file.read(READ)
                 if not self.raw.strip(b"\0"):
@@ -135,8 +185,14 @@ class _Inflated:
                 self.raw = self.file.read(READ)
                 if not self.raw:
                     self.ended = True
+                    if self.inside:
+                        raise _Damage(0)
                     break
-            out = self.z.decompress(self.raw, n)
+            try:
+                out = self.z.decompress(self.raw, n)
+            except zlib.error:
+                raise _Damage(self._next_member()) from None
+            self.inside = True
             self.raw = b"" if self.z.eof else self.z.unconsumed_tail
             if self.z.eof and not self.z.unused_data:
                 self.raw = b""
@@ -187,9 +243,17 @@ def _http(raw: bytes, content_type: str | None) -> tuple[int | None, bytes]:
     return status, body
 
 
-def records(path: str, filters: Sequence[Filter] = (), payload: bool = True) -> Iterator[tuple]:
-    """The file's records that pass the filters, as tuples in the schema's order. A damaged end ends the file."""
+def records(path: str, filters: Sequence[Filter] = (), payload: bool = True, mode: str = "DROPMALFORMED") -> Iterator[tuple]:
+    """The file's records that pass the filters, as tuples in the schema's order. A record that is cut short is damage, too."""
     system, inner = fs.FileSystem.from_uri(path)
+
+    def damage(passed: int) -> Iterator[tuple]:
+        if mode == "FAILFAST":
+            raise ValueError(f"{path}: {passed} bytes are damaged")
+        record = dict.fromkeys(HEADERS) | {"warc_type": DAMAGED, "content_length": passed}
+        if mode == "PERMISSIVE" and all(holds(f, record) for f in filters):
+            yield (*(record[k] for k in HEADERS), passed, {}, None, None)
+
     with system.open_input_file(inner) as file:
         magic = file.read(2)
         file.seek(0)
@@ -197,9 +261,12 @@ def records(path: str, filters: Sequence[Filter] = (), payload: bool = True) ->
         while True:
             try:
                 block = stream.header()
-                headers = _parsed(block) if block is not None else None
-                if headers is None:
+                if block is None:
                     return
+                headers = _parsed(block)
+                if headers is None:
+                    yield from damage(stream.resume())
+                    continue
                 n = _length(headers)
                 record = {k: headers.get(h) for k, h in HEADERS.items()} | {"content_length": n}
                 if not all(holds(f, record) for f in filters):
@@ -207,11 +274,17 @@ def records(path: str, filters: Sequence[Filter] = (), payload: bool = True) ->
                     continue
                 status, body = None, None
                 if payload:
-                    status, body = _http(stream.payload(n), record["content_type"])
+                    raw = stream.payload(n)
+                    if len(raw) < n:
+                        yield from damage(len(raw))
+                        continue
+                    status, body = _http(raw, record["content_type"])
                 else:
                     stream.skip(n)
-            except zlib.error:
-                return
+            except _Damage as lost:
+                stream.forget()
+                yield from damage(lost.args[0])
+                continue
             yield (*(record[k] for k in HEADERS), n, headers, status, body)
 
 
@@ -219,6 +292,9 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() != "false"
+        self.mode = str(options.get("mode", MODES[0])).upper()
+        if self.mode not in MODES:
+            raise ValueError(f"mode {self.mode!r}")
         self.partition_bytes = int(options.get("partitionBytes", PARTITION_BYTES))
         self.filters: list[Filter] = []
 
@@ -258,7 +334,7 @@ class WarcReader(DataSourceReader):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW)], schema=ARROW)
 
         for path in partition.paths:
-            for record in records(path, self.filters, self.payload):
+            for record in records(path, self.filters, self.payload, self.mode):
                 rows.append(record)
                 size += 500 + len(record[8] or b"")
                 if size >= BATCH_BYTES:
@@ -269,7 +345,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcDataSource(DataSource):
-    """format("warc"): options path, payload (false leaves payloads null) and partitionBytes."""
+    """format("warc"): options path, mode, payload (false leaves payloads null) and partitionBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -282,7 +358,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def read_warc(spark: SparkSession, uri: str, payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, uri: str, payload: bool = True, mode: str = MODES[0]) -> DataFrame:
     """The records of a file, or of all .warc and .warc.gz files under a folder. A missing path has none.
 
     Spark keeps what a Python source planned last on the loaded relation, so each query with filters of its own, and each side of a join,
@@ -291,7 +367,7 @@ def read_warc(spark: SparkSession, uri: str, payload: bool = True) -> DataFrame:
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(uri)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("mode", mode).load(uri)
 
 
 def _field(name: str, value: str | None) -> bytes:

@@ -68,6 +68,36 @@ def test_payload_that_is_not_wanted_is_not_parsed(tmp_path, monkeypatch):
     assert list(warc.records(f"file://{tmp_path}/bad.warc")) == []
 
 
+@pytest.mark.parametrize("compressed", [True, False])
+def test_damage_does_not_end_a_file(spark, tmp_path, compressed):
+    each = [warc._record("response", f"WARC-Record-ID: <r{i}>\r\nContent-Type: text/plain\r\n".encode(), f"body {i} ".encode() * 400) for i in range(9)]
+    if compressed:
+        each = [gzip.compress(x, 1) for x in each]
+        each[2] = each[2][:40] + b"\xff" * 20 + each[2][60:]
+        each[6] = each[6][: len(each[6]) // 2]
+    else:
+        each[2] = b"WRAC" + each[2][4:]
+        each[6] = each[6][: len(each[6]) // 2]
+    (tmp_path / "x.warc").write_bytes(b"".join(each) + (b"" if compressed else b"rubbish at the end"))
+    uri = f"file://{tmp_path}/x.warc"
+    lost = {2, 6} if compressed else {2, 6, 7}  # the short record's length runs on into the next one
+    want = {f"<r{i}>" for i in range(9)} - {f"<r{i}>" for i in lost}
+    for payload in (True, False):
+        got = list(warc.records(uri, payload=payload, mode="PERMISSIVE"))
+        whole = [r for r in got if r[0] == "response"]
+        assert want <= {r[1] for r in whole} and len({r[1] for r in whole}) == len(whole)
+        assert all(r[8] is None or r[8] == f"body {r[1][2]} ".encode() * 400 for r in whole if r[1] in want)
+        assert sum(r[0] == warc.DAMAGED and r[5] > 0 for r in got) >= 2
+        assert len(list(warc.records(uri, payload=payload))) == len(whole)
+    df = warc.read_warc(spark, uri)
+    assert df.filter("warc_type = 'damaged'").agg(F.sum("content_length")).first()[0] > (100 if compressed else 1000)
+    assert warc.read_warc(spark, uri).filter("warc_type = 'response'").count() >= len(want)
+    with pytest.raises(ValueError):
+        list(warc.records(uri, mode="FAILFAST"))
+    with pytest.raises(ValueError):
+        warc.WarcReader({"path": uri, "mode": "x"})
+
+
 def test_pushable():
     assert warc.pushable(In(("warc_type",), ("a", "b"))) and warc.pushable(Not(EqualTo(("target_uri",), "x")))
     assert not warc.pushable(EqualTo(("http_status",), 200)) and not warc.pushable(EqualTo(("headers", "x"), "y"))
