@@ -130,10 +130,11 @@ def pack_lengths(docs: DataFrame, id_col: str = "doc_id", length_col: str = "n_t
     """
     ship(docs.sparkSession)
     base = columns(docs, id_col, length_col).toDF("doc_id", "n").selectExpr("cast(doc_id as bigint) doc_id", "cast(n as bigint) n").filter("n > 0")
-    rows = written(base)
+    # The row's number, which is written with it, spreads rows that repeat and those without an id like any others.
+    rows = written(base.withColumn("row", F.monotonically_increasing_id()))
     shards = max(1, math.ceil(rows.count() / shard_docs))
     # The id and the length alone cross the network, spread by hash, so neither a hot source nor a long document makes a hot shard.
-    spread = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", F.lit(11)), F.lit(shards)).cast("int"))
+    spread = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "row"), F.lit(shards)).cast("int")).drop("row")
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()

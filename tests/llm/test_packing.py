@@ -71,3 +71,53 @@ def test_documents(spark):
     got = packing.pack_documents(df).collect()
     assert {d for r in got for d in r.doc_ids} == {1, 4}
     assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_are_spread(spark):
+    df = spark.createDataFrame([(None, 100)] * 3000 + [(5, 100)] * 3000, "doc_id long, n_tokens long")
+    got = packing.pack_lengths(df, shard_docs=500).collect()
+    per = Counter()
+    for r in got:
+        per[r.shard] += len(r.doc_ids)
+    assert sum(per.values()) == 6000 and len(per) == 12 and max(per.values()) < 700
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying every subset: for each set of documents, the fewest full sequences and the least fill of
+    the last one."""
+    n = len(lengths)
+    best = [(n + 1, 0)] * (1 << n)
+    best[0] = (0, capacity)
+    for s in range(1, 1 << n):
+        for i in range(n):
+            if s >> i & 1:
+                k, fill = best[s ^ 1 << i]
+                best[s] = min(best[s], (k, fill + lengths[i]) if fill + lengths[i] <= capacity else (k + 1, lengths[i]))
+    return best[-1][0]
+
+
+def test_query_against_exhaustive_packing(spark):
+    import random
+
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from feedloom.llm import bpe
+
+    r = random.Random(4)
+    texts = [(i, " ".join(r.choice(["alpha", "beta", "gamma", "of", "the"]) for _ in range(r.choice([20, 200, 500, 900, 1500])))) for i in range(150)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    counted = packing.count_tokens(df, "text", "n_tokens", bpe.RANKS)
+    got = packing.pack_lengths(counted, shard_docs=9).collect()
+    ranks = load_tiktoken_bpe(bpe.RANKS)
+    plain = tiktoken.Encoding("plain", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    length = {i: len(plain.encode_ordinary(t)) for i, t in texts}
+    used, least = 0, 0
+    for shard in {x.shard for x in got}:
+        rows = [x for x in got if x.shard == shard]
+        ids = [d for x in rows for d in x.doc_ids]
+        assert all(x.n_tokens == sum(length[d] for d in x.doc_ids) <= packing.CAPACITY for x in rows)
+        best = fewest([length[d] for d in ids], packing.CAPACITY) if len(ids) <= 14 else len(rows)
+        assert best <= len(rows) <= best + 1
+        used, least = used + len(rows), least + best
+    assert sorted(d for x in got for d in x.doc_ids) == sorted(length) and used <= 1.05 * least
