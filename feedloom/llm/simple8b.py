@@ -90,10 +90,13 @@ def unpack(words: np.ndarray, counts: np.ndarray, block_word: np.ndarray, block_
     if not len(words):
         return out.view(np.int64), null
     sel = (words >> np.uint64(60)).astype(np.int64)
+    # What looks like an escape with a value behind it is one unless it is itself such a value: in a run of these, every other one.
+    like = (sel == 0) & (words & np.uint64(1) == 0)
+    at = np.arange(len(words))
+    begins = like.copy()
+    begins[1:] &= ~like[:-1]
     raw = np.zeros(len(words), bool)
-    for w in np.flatnonzero(sel == 0):
-        if not raw[w] and not words[w] & np.uint64(1):
-            raw[w + 1] = True
+    raw[1:] = (like & ((at - np.maximum.accumulate(np.where(begins, at, 0))) % 2 == 0))[:-1]
     head = np.flatnonzero(~raw)
     first_word = block_word + np.repeat(word_off[:-1], per)
     block = np.searchsorted(first_word, head, side="right") - 1

@@ -46,6 +46,16 @@ def test_codec_property(texts):
         assert c.count(pa.array(texts, pa.string())).tolist() == np.diff(off).tolist()
 
 
+def test_every_code_point_is_cut_as_the_library_does(whole):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}{chr(c)}. " for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    c = bpe.codec(bpe.TOKENIZER)
+    for k in range(0, len(texts), 500):
+        part = texts[k : k + 500]
+        ids, off, _ = c.encode(pa.array(part))
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [e.ids for e in whole.encode_batch(part, add_special_tokens=False)]
+
+
 def test_decode_split_characters(spark):
     c = bpe.codec(bpe.TOKENIZER)
     ids, off, chars = c.encode(pa.array(["x😀y"]))
