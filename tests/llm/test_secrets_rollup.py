@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import string
 from collections import Counter
 
@@ -40,29 +42,78 @@ def test_finds_keys_and_leaves_text(spark):
     assert not got - set(truth)
 
 
+ALPHABETS = [string.digits, string.digits + "abcdef", string.digits + "ABCDEF", string.ascii_lowercase, string.ascii_uppercase, string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.ascii_uppercase + string.ascii_lowercase, string.ascii_uppercase + string.ascii_lowercase + string.digits, string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/", string.ascii_uppercase + string.ascii_lowercase + string.digits + "-_", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_-"]
+
+
+def two_sided(z):
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def plain_battery(s):
+    """Chi-squared, runs and serial correlation by their textbook formulas, one character at a time, and Fisher's method; 0 without encoding."""
+    abc = next((a for a in ALPHABETS if set(s) <= set(a)), None)
+    if abc is None:
+        return None, 0.0
+    k, n = len(abc), len(s)
+    x = [abc.index(c) for c in s]
+    chi = sum((x.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+    # The statistic's exact moments under uniformity, as those of a gamma; its cube root is nearly normal.
+    mean, variance = k - 1, 2 * (k - 1) * (n - 1) / n
+    shape = 2 * mean**2 / variance
+    p = [two_sided(((chi / mean) ** (1 / 3) - 1 + 2 / (9 * shape)) / math.sqrt(2 / (9 * shape)))]
+    above = [v * 2 >= k for v in x]
+    up, down = sum(above), n - sum(above)
+    if up and down:
+        runs = 1 + sum(a != b for a, b in zip(above, above[1:]))
+        expected = 2 * up * down / n + 1
+        v = (expected - 1) * (expected - 2) / (n - 1)
+        p.append(two_sided((runs - expected) / math.sqrt(v)) if v > 0 else 1.0)
+    else:
+        p.append(2 * 0.5**n)
+    m = sum(x) / n
+    power = sum((v - m) ** 2 for v in x)
+    p.append(two_sided(sum((a - m) * (b - m) for a, b in zip(x, x[-1:] + x[:-1])) / power * math.sqrt(n)) if power else 0.0)
+    h = -sum(math.log(max(v, 1e-300)) for v in p)
+    return abc, math.exp(-h) * sum(h**j / math.factorial(j) for j in range(3))
+
+
 def brute(docs):
-    """Secrets by regular expressions and the textbook procedure over unrounded p-values."""
-    import math
-    import re
-
-    n = Counter(c for _, t in docs for c in t)
-    ordinary = secretscan.Ordinary(np.array([n[c] for c in secretscan.ALPHABET]))
-    found = [(i, m.start(), m.group()) for i, t in docs for m in re.finditer(r"[A-Za-z0-9+/=_-]{16,}", t)]
-    p = {c: ordinary.log10_p(secretscan.core(c)) for _, _, c in found if len(secretscan.core(c)) >= 16}
+    """Secrets by regular expressions and the textbook procedure over unrounded p-values, for candidates without separators."""
+    signs = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/=_-"
+    n = Counter(c for _, t in docs for c in t if c in signs)
+    rate = {c: (n[c] + 1) / (sum(n.values()) + len(signs)) for c in signs}
+
+    def power(s):
+        """log10 of the least Chernoff bound, over four tilts, on the chance that ordinary characters are as improbable."""
+        rare = -sum(math.log(rate[c]) for c in s)
+        return min(0.0, *(-t * rare + len(s) * math.log(sum(q * q**-t for q in rate.values())) for t in (0.25, 0.5, 0.75, 1.0))) / math.log(10)
+
+    found = [(i, m.start(), m.group(), m.group().strip("=-_")) for i, t in docs for m in re.finditer(r"[A-Za-z0-9+/=_-]{16,}", t)]
+    p = {c: power(c) for _, _, _, c in found if len(c) >= 16}
     secret = set()
-    for k in range(4):
-        own = sorted((v, c) for c, v in p.items() if secretscan.size_class(len(secretscan.core(c))) == k)
+    for low, high in ((16, 24), (24, 32), (32, 48), (48, 10**9)):
+        own = sorted((v, c) for c, v in p.items() if low <= len(c) < high)
         last = max((j for j, (v, _) in enumerate(own) if v <= math.log10(0.01 * (j + 1) / len(own))), default=-1)
         secret |= {c for _, c in own[: last + 1]}
     out = set()
-    for i, s, c in found:
+    for i, s, whole, c in found:
         if c in secret:
-            e, r = secretscan.battery(secretscan.core(c))
-            if r >= 1e-4 and e not in ("decimal", "lower", "UPPER"):
-                out.add((i, s, s + len(c)))
+            abc, r = plain_battery(c)
+            if r >= 1e-4 and abc not in (string.digits, string.ascii_lowercase, string.ascii_uppercase):
+                out.add((i, s, s + len(whole)))
     return out
 
 
+def test_battery_is_the_textbooks():
+    r = random.Random(8)
+    strings = ["".join(r.choices(a, k=r.randint(16, 70))) for a in ALPHABETS for _ in range(40)] + ["a" * 20, "ab" * 20, "0" * 30, "é" * 20, "zzzzzzzzzzzzzzzzZ"]
+    for s in strings:
+        name, p = secretscan.battery(s)
+        abc, want = plain_battery(s)
+        assert p == pytest.approx(want, rel=1e-9) and (name == "none") == (abc is None)
+        assert abc is None or sorted(secretscan.ENCODINGS[name]) == sorted(abc)
+
+
 def test_matches_brute_force(spark):
     docs, _ = make(7)
     got = {(r.doc_id, r.start, r.end) for r in secretscan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
