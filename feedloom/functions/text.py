@@ -152,15 +152,14 @@ def without_tags(s: Column) -> Column:
     return F.regexp_replace(s, "<[^>]+>", "")
 
 
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&aring;": "å", "&aelig;": "æ", "&oslash;": "ø", "&amp;": "&"}
 IRRELEVANT = tuple("dr nyheder har|følg med på|læs også|se også".split("|"))
 
 
 def snippet(s: Column, original: bool = False) -> Column:
     """Up to three sentences of 15 bytes or more from an HTML snippet, within 500 bytes; irrelevant ones are left out of an original."""
-    t = without_tags(s)
-    for k, v in _ENTITIES.items():
-        t = F.replace(t, F.lit(k), F.lit(v))
+    from .entities import unescaped
+
+    t = F.regexp_replace(unescaped(without_tags(s)), "[\\p{Z}\x85]", " ")
     pieces = F.filter(F.transform(F.split(squeezed(t), r"\."), trim), lambda x: F.octet_length(x) >= 15)
     if original:
         pieces = F.filter(pieces, lambda x: ~F.lower(x).rlike("|".join(IRRELEVANT)))

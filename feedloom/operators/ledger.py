@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TTL_HOURS = 48
+#: JSON's own form leaves out microseconds; read, it may have fewer.
+JSON_WRITTEN, JSON_READ = ({"timestampFormat": f"yyyy-MM-dd'T'HH:mm:ss{x}XXX"} for x in (".SSSSSS", "[.SSSSSS][.SSS]"))
 SCHEMA = "hash string, title string, link string, category string, source string, sent_at timestamp"
 
 
@@ -105,13 +107,27 @@ def unexpired(cache: DataFrame, now: Column) -> DataFrame:
     return cache.filter(F.col("expires_at") >= now)
 
 
+def looked_up(requests: DataFrame, cache: DataFrame, now: Column, key: str = "key") -> DataFrame:
+    """requests with the `value` that a key-value cache (key, value, expires_at) has for their key and hasn't expired, and `hit`. Of entries
+    with one key the one that expires last counts, as it was put last. A null key finds nothing; a value may itself be null."""
+    live = unexpired(cache, now).groupBy(F.col(key).alias("__key")).agg(F.max_by("value", "expires_at").alias("value"), F.lit(True).alias("__hit"))
+    return requests.join(live, requests[key] == live["__key"], "left").withColumn("hit", F.coalesce("__hit", F.lit(False))).drop("__key", "__hit")
+
+
+def translations_of(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """requests (content_hash) with the cached summary and translations, whatever their age, and `found`; an unknown hash has nulls."""
+    fields = ("summary", "danish_translation", "ukrainian_translation", "ai_provider")
+    known = cache.select(F.col("content_hash").alias("__hash"), *fields)
+    return requests.join(known, requests["content_hash"] == known["__hash"], "left").withColumn("found", F.col("__hash").isNotNull()).drop("__hash")
+
+
 def read_json(spark: SparkSession, path: str, now: Column, ttl_hours: int = TTL_HOURS) -> DataFrame:
     """A ledger kept as one JSON array: active rows; of rows with one hash, the last in the file."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>")).alias("at", "r")).select("at", "r.*")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{SCHEMA.replace(' ', ':').replace(',:', ',')}>>", JSON_READ)).alias("at", "r")).select("at", "r.*")
     last = Window.partitionBy("hash").orderBy(F.desc("at"))
     return active(rows, now, ttl_hours).withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n", "at")
 
 
 def write_json(ledger: DataFrame, path: str) -> None:
     """The whole ledger anew, as one JSON array."""
-    ledger.agg(F.to_json(F.collect_list(F.struct(*ledger.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    ledger.agg(F.to_json(F.collect_list(F.struct(*ledger.columns)), JSON_WRITTEN).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def run_metrics(events: DataFrame) -> DataFrame:
@@ -38,31 +42,49 @@ def hit_rate(events: DataFrame) -> DataFrame:
     return events.agg(hits.alias("hits"), misses.alias("misses"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("tokens"))), F.lit(0)).cast("bigint").alias("tokens_saved"), F.coalesce(100.0 * hits / F.nullif(hits + misses, F.lit(0)), F.lit(0.0)).alias("hit_rate"))
 
 
+def periods(requests: DataFrame, period_seconds: int = 24 * 3600) -> DataFrame:
+    """second and since, when its period began, for every second with a request. A period begins with the first request after the one
+    before has ended.
+
+    That is a chain along time, so the distinct seconds, and nothing else, go through one task in order; it holds one number.
+    """
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        since = None
+        for batch in batches:
+            begun = []
+            for s in batch.column(0).to_pylist():
+                since = s if since is None or s - since > period_seconds else since
+                begun.append(since)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begun, pa.int64())], names=["second", "since"])
+
+    seconds = requests.select(F.unix_seconds("at").alias("second")).filter("second is not null").distinct()
+    return seconds.coalesce(1).sortWithinPartitions("second").mapInArrow(chain, "second bigint, since bigint")
+
+
 def admitted(requests: DataFrame, quotas: dict[str, int], total: int, period_seconds: int = 24 * 3600) -> DataFrame:
-    """requests (ord, at, provider) with `admitted`: in order, while the provider's quota and the total of the period aren't used up (0: no
-    bound). A period starts with the first request after the one before has ended. A provider without a quota is unbounded.
+    """requests (ord, at, provider) with `admitted`: in order of time and `ord`, while the provider's quota and the total of the period aren't
+    used up (0: no bound). A provider without a quota is unbounded; a request without a time is in a period of those.
 
-    The counters depend on each other, so one period is a fold over its requests; no more than `total` of them change its state.
+    Until the total is used up a provider's first requests are admitted, up to its quota, and after that none is; so a request is admitted if
+    its rank among its provider's in the period is within the quota and its rank among all such in the period within the total. Both are
+    first-k rankings, which Spark cuts before it shuffles.
     """
-    names = sorted(quotas)
-    rows = F.array_sort(F.collect_list(F.struct("ord", F.unix_seconds("at").alias("at"), "provider")))
-
-    def step(acc, x):
-        fresh = x["at"] - acc["since"] > period_seconds
-        used = {p: F.when(fresh, 0).otherwise(acc[p]) for p in names}
-        all_ = F.when(fresh, 0).otherwise(acc["all"])
-        own_ok = F.lit(True)
-        for p in names:
-            if quotas[p] > 0:
-                own_ok = F.when(x["provider"] == p, used[p] < quotas[p]).otherwise(own_ok)
-        ok = own_ok & (F.lit(total <= 0) | (all_ < total))
-        counts = [(used[p] + F.when(ok & (x["provider"] == p), 1).otherwise(0)).cast("int").alias(p) for p in names]
-        return F.struct(F.when(fresh, x["at"]).otherwise(acc["since"]).alias("since"), *counts, (all_ + F.when(ok, 1).otherwise(0)).cast("int").alias("all"), F.array_append(acc["done"], F.struct(x["ord"].alias("ord"), ok.alias("admitted"))).alias("done"))
-
-    kind = dict(requests.dtypes)["ord"]
-    start = F.struct(F.lit(-(1 << 60)).cast("bigint").alias("since"), *[F.lit(0).alias(p) for p in names], F.lit(0).alias("all"), F.array().cast(f"array<struct<ord:{kind},admitted:boolean>>").alias("done"))
-    done = requests.agg(F.aggregate(rows, start, step, lambda a: a["done"]).alias("d")).select(F.explode("d").alias("d")).select("d.ord", "d.admitted")
-    return requests.join(done, "ord")
+    second = F.unix_seconds("at")
+    rows = requests.select("ord", "at", "provider", second.alias("second")).join(periods(requests, period_seconds), "second", "left").select("ord", "at", "provider", "since")
+    bounds = {p: q for p, q in quotas.items() if q > 0}
+    ok = rows
+    if bounds:
+        own = F.col("provider").isin(list(bounds))
+        quota = F.create_map(*[F.lit(x) for kv in bounds.items() for x in kv])[F.col("provider")]
+        rank = F.row_number().over(Window.partitionBy("since", "provider").orderBy(F.col("at").asc_nulls_first(), "ord"))
+        # No rank above the greatest quota counts, which cuts before the shuffle; then each provider's own.
+        mine = rows.filter(own).withColumn("__n", rank).filter(F.col("__n") <= max(bounds.values())).filter(F.col("__n") <= quota).drop("__n")
+        ok = mine.union(rows.filter(F.coalesce(~own, F.lit(True))))
+    if total > 0:
+        rank = F.row_number().over(Window.partitionBy("since").orderBy(F.col("at").asc_nulls_first(), "ord"))
+        ok = ok.withColumn("__n", rank).filter(F.col("__n") <= total)
+    return requests.join(ok.select("ord", F.lit(True).alias("admitted")), "ord", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 
 def usage(admitted_requests: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from ..functions.scoring import flags, scored, scored_sql
 from ..functions.text import WS_RE2
 from ..functions.vocab import contains_any_sql
 from ..operators import dedup, enrich, ledger, usage
+from ..operators.checkpoints import shared_base
 from ..operators.select import POOL, diverse, ranked
+from ..sources import feeds
 from .flagship import curated, dedup_keys
 from .items import DEMO, EPOCH, EVENT_TIME, ITEMS, LEDGER, LINKS, NOW, NOW_SECONDS, SENT, items, links, sent, spread, table
 
@@ -382,9 +385,14 @@ def language_guess(spark, d):
     return items(spark, d).select("ord", text.looks_ukrainian(c("description")).alias("uk"), text.looks_danish(c("description")).alias("da"), text.language_name(c("source_lang")).alias("lang"))
 
 
-@query()
+def joined_lines_sql(s: str) -> str:
+    return "array_to_string(list_filter(list_transform(string_split(" + s + ", chr(10)), lambda x: " + trim_sql("x") + "), lambda x: x <> ''), ' ')"
+
+
+@query(f"""select conv_id, turn, s as summary, d as danish, u as ukrainian, s <> '' and d <> '' and u <> '' as complete
+ from (select conv_id, turn, {joined_lines_sql('left(text, 50)')} as s, {joined_lines_sql('text')} as d, {joined_lines_sql('right(text, 40)')} as u from conversations where role = 'assistant')""")
 def response_parse(spark, d):
-    """Labelled answers made of the assistant's turns; the fold over lines has no counterpart in SQL, so the tests hold it to a plain loop."""
+    """Labelled answers made of the assistant's turns, none of which is blank or has a label itself; the tests hold others to a plain loop."""
     t = table(spark, d, "conversations").filter("role = 'assistant'")
     made = F.concat(F.lit("Суть: "), F.left("text", F.lit(50)), F.lit("\nDANSK:\n"), "text", F.lit("\nУкраїнська: "), F.right("text", F.lit(40)))
     return t.select("conv_id", "turn", text.parsed_response(made).alias("r")).select("conv_id", "turn", "r.*")
@@ -485,12 +493,34 @@ def photo_caption(spark, d):
     return layout.with_budget(_news(spark, d)).select("ord", layout.caption(c("photo_budget")).alias("caption"))
 
 
-@query()
+TEXT_MESSAGE = f"""('{layout.TEXT_HEAD}' || case when title = '' then '' else '🇩🇰 <b>' || title || '</b>' || chr(10) end || case when da = '' then '' else da || chr(10) || chr(10) end
+ || case when title = '' then '' else '🇺🇦 <b>' || title || '</b>' || chr(10) end || case when uk = '' then '' else uk || chr(10) end || chr(10) || '🔗 ' || link)""".replace(chr(10) + " ", " ").replace(chr(10) * 2, "' || chr(10) || chr(10) || '")
+ENOUGH = "(da_full <> '' and uk_full <> '' and da <> '' and uk <> '' and nd + nu >= 180 and room >= 40 and da_budget >= 120 and uk_budget >= 120)"
+
+
+@query(f"""select ord, use_photo, case when not use_photo then {TEXT_MESSAGE} when length(x) > 1024 then left(x, 1023) || '…' else x end as message
+ from (select *, ord % 3 = 0 and {ENOUGH} as use_photo, {CAPTION} as x from {BUDGET} join (select ord, title, link from {ITEMS}) using (ord))""")
 def posting(spark, d):
     return layout.posts(_news(spark, d)).select("ord", "use_photo", "message")
 
 
-@query()
+def limit_sql(s: str, n: int) -> str:
+    """What limit_bytes() gives of s; n is small."""
+    return f"(select case when strlen(v) <= {n} then v else {trim_sql('case when contains(k, ' + chr(39) + ' ' + chr(39) + ') and strlen(left(k, length(k) - strpos(reverse(k), ' + chr(39) + ' ' + chr(39) + '))) > 400 then left(k, length(k) - strpos(reverse(k), ' + chr(39) + ' ' + chr(39) + ')) else k end')} || '...' end from (select v, case when strlen(v) <= {n} then v else {byte_cut_sql('v', n)} end as k from (select {s} as v)))"
+
+
+def _digest_sql() -> str:
+    row = f"""case when g = 0 then '🔥' else '📰' end || ' <b>' || n || '.</b> <a href="' || link || '">' || title || '</a>' || chr(10)
+ || case when uk = '' then '' else '🇺🇦 <i>' || {limit_sql('uk', 1500)} || '</i>' || chr(10) end || '{"➖" * 10}' || chr(10) || chr(10)"""
+    lines = lambda x: "'" + x.replace("\n", "' || chr(10) || '") + "'"
+    part = lambda g: f"coalesce(string_agg(t, '' order by n) filter (g = {g}), '')"
+    head = lambda g: f"case when count_if(g < {g}) < 10 then {lines(layout.DIGEST[g][1])} else '' end"
+    first = f"select *, row_number() over (order by g, ord) as n from (select *, case category when 'ukraine' then 0 when 'denmark' then 1 else 2 end as g from ({SCORED}) where score > 0)"
+    return f"""select {lines('🇩🇰 <b>Новини</b> 🇺🇦' + chr(10) + layout.LINE * 40 + chr(10) * 2)} || {lines(layout.DIGEST[0][1])} || {part(0)} || {head(1)} || {part(1)} || {head(2)} || {part(2)} || chr(10) || '{layout.LINE * 40}' || chr(10) as message
+ from (select g, n, {row} as t from (select *, {fallback_sql('description')} as uk from ({first}) where n <= 10))"""
+
+
+@query(_digest_sql())
 def digest(spark, d):
     n = scored(items(spark, d), DEMO).filter("score > 0").withColumns({"ukrainian": text.fallback_summary(c("description")), "danish": F.lit("")})
     return layout.digest(n, 10)
@@ -532,12 +562,113 @@ def cache_hit_rate(spark, d):
 QUOTAS = {"click": 40, "view": 25, "purchase": 0}
 
 
-@query()
+@query(f"""with recursive e as materialized (select event_id as ord, ts, epoch_us(ts) // 1000000 as s, event_type as provider from events),
+ p as (select min(s) as since from e union all select (select min(s) from e where e.s > p.since + 86400) from p where exists (select 1 from e where e.s > p.since + 86400)),
+ r as (select e.*, p.since from e asof join p on e.s >= p.since),
+ o as (select *, row_number() over (partition by since, provider order by ts, ord) as n from r),
+ ok as (select ord, row_number() over (partition by since order by ts, ord) as n from o where n <= case provider {' '.join(f"when '{k}' then {v}" for k, v in QUOTAS.items() if v)} else n end)
+ select provider, count_if(ok.n <= 150) as used, count_if(ok.n is null or ok.n > 150) as refused from e left join ok using (ord) group by provider""")
 def rate_limit_usage(spark, d):
-    e = table(spark, d, "events").select(c("event_id").alias("ord"), F.expr(EVENT_TIME).alias("at"), c("event_type").alias("provider")).filter("ord < 3000")
+    e = table(spark, d, "events").select(c("event_id").alias("ord"), F.expr(EVENT_TIME).alias("at"), c("event_type").alias("provider"))
     return usage.usage(usage.admitted(e, QUOTAS, 150))
 
 
+# Sources and caches
+
+FEED = "'<rss><channel><title>t</title>' || {items} || '</channel></rss>'"
+FEED_ITEM = "'<item><title>N' || {k} || ' of ' || s_suppkey || ' &amp; co</title><description>d' || {k} || '</description><link>https://f' || s_suppkey || '.example/' || {k} || '</link></item>'"
+
+
+@query("select s_suppkey * 1000000 + k as ord, 'N' || k || ' of ' || s_suppkey || ' & co' as title, 'd' || k as description, 'https://f' || s_suppkey || '.example/' || k as link, s_name as source_name from supplier, range(0, 3) t(k) where s_suppkey % 3 <> 0")
+def feed_items(spark, d):
+    s = table(spark, d, "supplier")
+    url = F.concat(F.lit("https://f"), c("s_suppkey").cast("string"))
+    body = F.expr(FEED.format(items=" || ".join(FEED_ITEM.format(k=k) for k in range(3))))
+    fetched = s.select(url.alias("url"), body.alias("body"), c("s_suppkey").alias("position"))
+    listed = s.select(url.alias("url"), c("s_name").alias("name"), F.lit("da").alias("lang"), F.lit(1).alias("priority"), (c("s_suppkey") % 3 != 0).alias("active"), F.array(F.lit("x")).alias("categories"))
+    return feeds.items(fetched, listed).select("ord", "title", "description", "link", "source_name")
+
+
+@query(f"select hash, title, link, category, source, epoch_us(sent_at) as sent_us from {LEDGER} where sent_at > {CUT}")
+def ledger_json(spark, d):
+    """The ledger written as one JSON array and read again."""
+    at = f"{shared_base(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger.write_json(_ledger(spark, d), at)
+    return ledger.read_json(spark, at, now()).select("hash", "title", "link", "category", "source", F.unix_micros("sent_at").alias("sent_us"))
+
+
+def _cache_sql(part: str) -> str:
+    return f"(select sha256(event_type || user_id) as content_hash, min(event_id) as id, count(*) as n from events where {part} group by all)"
+
+
+def _cache(spark, d, part: str):
+    e = table(spark, d, "events").filter(part).groupBy(F.sha2(F.concat("event_type", c("user_id").cast("string")), 256).alias("content_hash")).agg(F.min("event_id").alias("id"), F.count("*").alias("n"))
+    word = lambda w: F.concat(F.lit(w), c("id").cast("string"))
+    return e.select("content_hash", word("t").alias("title"), word("c").alias("content"), word("s").alias("summary"), word("d").alias("danish_translation"), word("u").alias("ukrainian_translation"), F.lit("groq").alias("ai_provider"), F.timestamp_seconds(F.lit(EPOCH)).alias("created_at"), F.timestamp_seconds(F.lit(EPOCH)).alias("last_used_at"), c("n").cast("int").alias("use_count"))
+
+
+@query(f"""select coalesce(o.content_hash, n.content_hash) as content_hash, 'd' || coalesce(n.id, o.id) as danish_translation, cast(case when n.id is null then o.n when o.id is null then 1 else o.n + 1 end as integer) as use_count,
+ case when n.id is null then {EPOCH} else {NOW_SECONDS} end as last_used from {_cache_sql('event_id % 3 <> 0')} o full join {_cache_sql('event_id % 5 = 0')} n using (content_hash)""")
+def translation_cache_upsert(spark, d):
+    put = ledger.cached_translations(_cache(spark, d, "event_id % 3 <> 0"), _cache(spark, d, "event_id % 5 = 0"), now())
+    return put.select("content_hash", "danish_translation", "use_count", F.unix_seconds("last_used_at").alias("last_used"))
+
+
+@query(f"select c_custkey as id, 'd' || k.id as danish_translation, k.id is not null as found from customer left join {_cache_sql('true')} k on k.content_hash = sha256('view' || c_custkey)")
+def translation_cache_lookup(spark, d):
+    asked = table(spark, d, "customer").select(c("c_custkey").alias("id"), F.sha2(F.concat(F.lit("view"), c("c_custkey").cast("string")), 256).alias("content_hash"))
+    return ledger.translations_of(asked, _cache(spark, d, "true")).select("id", "danish_translation", "found")
+
+
+@query(f"""select ord, v.value, v.value is not null as hit from {ITEMS} i left join (select sha256(title || description) as key, max(title || '!') as value from {ITEMS} where ord % 2 = 0 and published + 3600 * (ord % 400) >= {NOW_SECONDS} group by 1) v on v.key = sha256(i.title || i.description)""")
+def prompt_cache_lookup(spark, d):
+    i = items(spark, d)
+    key = keys.cache_key(c("title"), c("description")).alias("key")
+    expires = F.timestamp_seconds(F.unix_seconds("published") + 3600 * (c("ord") % 400))
+    cache = i.filter("ord % 2 = 0").select(key, F.concat("title", F.lit("!")).alias("value"), expires.alias("expires_at"))
+    return ledger.looked_up(i.select("ord", key), cache, now()).select("ord", "value", "hit")
+
+
+@query("""select page_id, case when page_id % 5 = 0 then 'https://e/' || page_id || '.JPG' when page_id % 5 = 1 then 'https://e/' || page_id when page_id % 5 = 2 then '/i/' || page_id || '.gif'
+ when page_id % 5 = 3 then '/c/' || page_id || '.png' else 'https://p/' || page_id end as image from pages""")
+def item_image(spark, d):
+    """Of an enclosure by suffix and by type, the description, the content and the page."""
+    n = c("page_id").cast("string")
+    k = c("page_id") % 5
+    enclosure = lambda kind, u: F.struct(F.lit(kind).alias("type"), u.alias("url"))
+    at = F.concat(F.lit("https://e/"), n)
+    found = F.when(k == 0, F.array(enclosure("", F.lit(" ")), enclosure("", F.concat(at, F.lit(".JPG"))))).when(k == 1, F.array(enclosure("audio/mp3", at), enclosure("Image/x", at)))
+    inside = F.when(k == 2, F.concat(F.lit('<img src="/i/'), n, F.lit('.gif">'))).otherwise("none")
+    content = F.when(k == 3, F.concat(F.lit("<IMG src='/c/"), n, F.lit(".png'>"))).otherwise("")
+    return table(spark, d, "pages").select("page_id", html.item_image(found, inside, content, F.concat(F.lit("https://p/"), n)).alias("image"))
+
+
+@query(f"select ord, {limit_sql('description', 600)} as limited from {ITEMS}")
+def limit_text(spark, d):
+    return items(spark, d).select("ord", text.limit_bytes(c("description"), 600).alias("limited"))
+
+
+@query(f"select ord, case when {trim_sql('description')} = '' then '' when ord % 3 = 0 and {trim_sql('title')} <> '' then {sanitize_sql('title')} when ord % 3 = 1 then 'plain' end as summary from {ITEMS}")
+def summarize_cascade(spark, d):
+    answers = [F.lit(None).cast("string"), F.when(c("ord") % 3 == 0, c("title")).otherwise(" "), F.when(c("ord") % 3 == 1, F.lit("plain"))]
+    return items(spark, d).select("ord", text.summarized(c("description"), answers).alias("summary"))
+
+
+@query(f"select ord, '🇩🇰 *' || title || '*' || chr(10) || case when ord % 2 = 0 then '🇺🇦 ' || source_lang || chr(10) else '' end || case when ord % 3 = 0 then '🇩🇰 ' || link || chr(10) else '' end || '{layout.LINE * 26}' as message from {ITEMS}")
+def format_news(spark, d):
+    row = {"title": c("title"), "ukrainian": F.when(c("ord") % 2 == 0, c("source_lang")), "danish": F.when(c("ord") % 3 == 0, c("link")).otherwise("")}
+    return items(spark, d).select("ord", layout.preview(row).alias("message"))
+
+
+MARKED = "replace(description, '. ', case ord % 3 when 0 then '. Se også en anden historie. ' when 1 then '. LÆS OGSÅ denne her. ' else '. ' end)"
+ORIGINAL = SNIPPET.replace("description", MARKED).replace("lambda x: strlen(x) >= 15)[1:3]", f"lambda x: strlen(x) >= 15 and not regexp_matches(lower(x), '{'|'.join(text.IRRELEVANT)}'))[1:3]")
+
+
+@query(f"select ord, case when strlen(r) > 500 then {byte_cut_sql('r', 500)} || '...' else r end as snippet from (select ord, case when len(p) = 0 then '' else array_to_string(p, '. ') || '.' end as r from (select ord, {ORIGINAL} as p from {ITEMS}))")
+def snippet_original(spark, d):
+    return items(spark, d).withColumn("description", F.expr(MARKED)).select("ord", text.snippet(c("description"), original=True).alias("snippet"))
+
+
 @query(f"select user_id, event_type, count(*) as n from events where ts > {CUT} group by all")
 def stream_counts(spark, d):
     from ..streaming.ledger_stream import drained_counts

@@ -164,3 +164,49 @@ def test_metrics_and_quotas(spark):
     r = spark.createDataFrame(req, "ord long, t long, provider string").select("ord", F.timestamp_seconds("t").alias("at"), "provider")
     got = {x.ord: x.admitted for x in usage.admitted(r, {"a": 1, "b": 2, "c": 0}, 3).collect()}
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
+
+
+def test_admission_against_a_plain_loop(spark):
+    r = random.Random(12)
+    at, rows = 0, []
+    for i in range(600):
+        at += r.choice([0, 1, 400, 3000])
+        rows.append((i, at, r.choice(["a", "b", "c", None])))
+    quotas, total, day = {"a": 9, "b": 4, "c": 0}, 20, 86_400
+    since, used, spent, want = None, Counter(), 0, {}
+    for i, t, p in rows:
+        if since is None or t - since > day:
+            since, used, spent = t, Counter(), 0
+        ok = spent < total and not (quotas.get(p, 0) and used[p] >= quotas[p])
+        want[i] = ok
+        used[p] += ok
+        spent += ok
+    df = spark.createDataFrame(rows, "ord long, t long, provider string").select("ord", F.timestamp_seconds("t").alias("at"), "provider").repartition(5)
+    assert {x.ord: x.admitted for x in usage.admitted(df, quotas, total).collect()} == want
+    assert all(x.admitted for x in usage.admitted(df, {}, 0).collect())
+    assert usage.admitted(df.limit(0), quotas, total).count() == 0
+    begun = {x.since for x in usage.periods(df).collect()}
+    assert len(begun) > 3
+
+
+def test_cache_look_ups(spark):
+    cache = spark.createDataFrame([("a", "old", 50), ("a", "new", 200), ("b", "gone", 99), ("c", "just", 100), ("d", None, 500)], "key string, value string, t long").select("key", "value", F.timestamp_seconds("t").alias("expires_at"))
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, None), (6, "zz"), (7, "a")], "id int, key string")
+    got = {x.id: (x.value, x.hit) for x in ledger.looked_up(asked, cache, F.timestamp_seconds(F.lit(100))).collect()}
+    assert got == {1: ("new", True), 2: (None, False), 3: ("just", True), 4: (None, True), 5: (None, False), 6: (None, False), 7: ("new", True)}
+    kept = spark.createDataFrame([("h", "s", "d", None, "groq")], "content_hash string, summary string, danish_translation string, ukrainian_translation string, ai_provider string")
+    asked = spark.createDataFrame([(1, "h"), (2, "x"), (3, None)], "id int, content_hash string")
+    got = {x.id: (x.danish_translation, x.found) for x in ledger.translations_of(asked, kept).collect()}
+    assert got == {1: ("d", True), 2: (None, False), 3: (None, False)}
+
+
+def test_articles_and_summaries_for_the_first_few(spark):
+    rows = [(i, f"l{i % 7}", "short") for i in range(30)]
+    items = spark.createDataFrame(rows, "ord int, link string, content string").repartition(4)
+    articles = spark.createDataFrame([(f"l{k}", "w" * 300) for k in range(7)] + [("l1", "w" * 300)], "url string, article string")
+    for most in (0, 4):
+        got = {x.ord: x.content != "short" for x in enrich.with_articles(items, articles, most).collect()}
+        assert got == {i: i < 4 or most == 0 for i in range(30)}
+    main = spark.createDataFrame([(f"l{k}", "S", "D", None) for k in range(7)], "link string, summary string, danish string, ukrainian string")
+    got = {x.ord: (x.summary, x.danish, x.ukrainian) for x in enrich.with_summaries(items, main, 3).collect()}
+    assert all(got[i] == (("S", "D", "short") if i < 3 else ("short",) * 3) for i in range(30))

@@ -137,3 +137,15 @@ def test_snippets_and_prompts(spark):
     got = values(spark, text.prompt_ready, [long, "a\r\n b\tc"])
     assert got[0].endswith(".\n[TRUNCATED]") and len(got[0]) < 6020 and got[1] == "a b c"
     assert values(spark, text.language_name, ["UK", "da", "sv"]) == ["Ukrainian", "Danish", "sv"]
+
+
+def test_character_references_as_html_has_them(spark):
+    import html
+
+    from feedloom.functions.entities import unescaped
+
+    texts = ["a &amp; b", "&lt;p&gt;", "&eacute;t&eacute &notit; &notin; &#229;&#xE6; &#x1F600; &#128; &#0; &#xD800; &#99999999999;", "none", "& &; &# &#x; &unknown; &AMP &ampx", "x&NotEqualTilde;y", "", None, "&amp;lt;", "&copy2024 &#00065; &#X41;"]
+    texts += ["".join(f"&{n}x " for n in list(html.entities.html5)[k : k + 50]) for k in range(0, len(html.entities.html5), 50)]
+    assert values(spark, unescaped, texts) == [None if t is None else html.unescape(t) for t in texts]
+    got = values(spark, text.snippet, ["<p>Bl&aring;b&aelig;r&nbsp;og fl&oslash;de til alle &mdash; nu.</p>"])
+    assert got == ["Blåbær og fløde til alle — nu."]
