@@ -1,7 +1,7 @@
 """Quality rules at the level of hosts.
 
 Each document is put to a few rules. Failures are counted by host, and each host's failure rate is shrunk towards the rate of all hosts by a
-beta prior whose mean and strength are fitted to the hosts by moments. A host whose shrunk rate is too high is bad. The host's verdict goes
+beta prior whose mean and strength are fitted to the hosts by moments. A host is bad whose shrunk rate is too high, or far out in that prior. The host's verdict goes
 back to its documents: one that fails several rules is rejected anywhere, one that fails a single rule only on a bad host, and one that
 fails none never.
 
@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Chars, columns, fresh, mix, run_hashes, ship, slices, words, written
 
@@ -25,8 +26,8 @@ SYMBOLS = "#$%&*+/<=>@\\^_`{|}~!"
 MAX_UPPER, MAX_SYMBOLS, MAX_RUNS, MAX_BARS, MIN_DISTINCT_LINES = 0.4, 0.05, 0.1, 0.1, 0.7
 MIN_WORD, MAX_WORD = 2.0, 20.0
 RULES = ("upper", "symbols", "runs", "bars", "lines", "word_length")
-#: A host is bad if its shrunk rate of documents that fail any rule is above this.
-MAX_HOST_RATE = 0.5
+#: A host is bad if its shrunk rate of documents that fail any rule is above this, or so many standard deviations of the prior above its mean.
+MAX_HOST_RATE, HOST_SIGMAS = 0.5, 3.0
 #: Failures that reject a document on any host.
 REJECT_AT = 2
 #: The prior's strength, in documents, where hosts don't differ by more than chance.
@@ -92,7 +93,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFr
 
 
 def host_table(found: DataFrame) -> DataFrame:
-    """host, n_docs, fails_<rule>, fails_any, host_rate (shrunk) and host_bad of what judged() gave. A null host is a host of its own."""
+    """host, n_docs, fails_<rule>, fails_any, host_rate (shrunk), host_bound and host_bad of what judged() gave. A null host is a host of its own."""
     any_ = (F.col("n_failed") > 0).cast("int")
     hosts = found.groupBy("host").agg(F.count("*").alias("n_docs"), *[F.sum(f"fail_{r}").alias(f"fails_{r}") for r in RULES], F.sum(any_).alias("fails_any"))
     rate = F.col("fails_any") / F.col("n_docs")
@@ -102,7 +103,9 @@ def host_table(found: DataFrame) -> DataFrame:
     strength = F.when(between <= LEAST_VARIANCE, STRONGEST).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(STRONGEST), F.col("m") * (1 - F.col("m")) / between - 1)))
     prior = stats.select("m", strength.alias("s"))
     shrunk = (F.col("fails_any") + F.col("m") * F.col("s")) / (F.col("n_docs") + F.col("s"))
-    return hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", F.round(shrunk, 6)).withColumn("host_bad", F.col("host_rate") > MAX_HOST_RATE).drop("m", "s")
+    bound = F.least(F.lit(MAX_HOST_RATE), F.round(F.col("m") + HOST_SIGMAS * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("s") + 1)), 6))
+    rated = hosts.crossJoin(F.broadcast(prior)).withColumns({"host_rate": F.round(shrunk, 6), "host_bound": bound})
+    return rated.withColumn("host_bad", F.col("host_rate") > F.col("host_bound")).drop("m", "s")
 
 
 def _rejects(n_failed: Column, bad: Column) -> Column:
@@ -116,7 +119,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     left out.
     """
     found = written(judged(docs, id_col, text_col, host_col))
-    hosts = written(host_table(found).select(F.col("host").alias("h"), "host_rate", "host_bad"))
+    hosts = written(host_table(found).select(F.col("host").alias("h"), "host_rate", "host_bound", "host_bad"))
     return found.join(hosts, found.host.eqNullSafe(hosts.h)).drop("h").withColumn("rejected", _rejects(F.col("n_failed"), F.col("host_bad")))
 
 
@@ -162,7 +165,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     lines = F.col(n).bitwiseAND(F.lit(1 << list(fails).index("lines"))) > 0
     once = F.when(lines, F.array_join(F.array_distinct(F.split(mine, "\n")), "\n")).otherwise(mine)
     rest = held.filter(mine.isNull() | (count < REJECT_AT))
-    rest = rest.withColumn(text, once).mapInArrow(run, rest.schema)
+    rest = rest.withColumn(text, once).mapInArrow(run, StructType([*docs.schema.fields, held.schema[n]]))
     name = fresh(docs, "host")
     bad = bad.withColumnRenamed("host", name)
     judged_by = rest[f"`{host_col}`"].cast("string").eqNullSafe(bad[name]) & (rest[n] > 0) & rest[f"`{text_col}`"].isNotNull()
@@ -189,8 +192,8 @@ with base as (select doc_id, source host, {bare['t']} t from {table}),
  hosts as (select host, count(*) n_docs, {fails}, sum((n_failed > 0)::int) fails_any from counted group by host),
  stats as (select avg(fails_any / n_docs) m, coalesce(var_samp(fails_any / n_docs), 0) v, avg(1 / n_docs) per from hosts),
  prior as (select m, case when v - m * (1 - m) * per <= {LEAST_VARIANCE} then {STRONGEST} else greatest(0, least({STRONGEST}, m * (1 - m) / (v - m * (1 - m) * per) - 1)) end s from stats),
- judged as (select host, round((fails_any + m * s) / (n_docs + s), 6) host_rate from hosts, prior)
-select doc_id, c.host, {', '.join(f'fail_{r}' for r in RULES)}, n_failed, host_rate, host_rate > {MAX_HOST_RATE} host_bad,
- n_failed >= {REJECT_AT} or (n_failed >= 1 and host_rate > {MAX_HOST_RATE}) rejected
+ judged as (select host, round((fails_any + m * s) / (n_docs + s), 6) host_rate, least({MAX_HOST_RATE}, round(m + {HOST_SIGMAS} * sqrt(m * (1 - m) / (s + 1)), 6)) host_bound from hosts, prior)
+select doc_id, c.host, {', '.join(f'fail_{r}' for r in RULES)}, n_failed, host_rate, host_bound, host_rate > host_bound host_bad,
+ n_failed >= {REJECT_AT} or (n_failed >= 1 and host_rate > host_bound) rejected
 from counted c join judged j on c.host is not distinct from j.host
 """

@@ -90,3 +90,12 @@ def test_domains(spark):
     got = hostrules.with_domain(df)
     assert [r.source for r in got.orderBy("doc_id").collect()] == list(urls.values())
     assert hostrules.verdicts(got).count() == len(urls)
+
+
+def test_a_host_far_out_among_its_like_is_bad(spark):
+    rows = [(100 * h + k, ONE if k < (30 if h == 0 else 5 + h % 2) else CLEAN, f"h{h}") for h in range(40) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = hostrules.verdicts(df).collect()
+    assert {r.host for r in got if r.host_bad} == {"h0"}
+    assert {r.doc_id for r in got if r.rejected} == set(range(30)) and max(r.host_rate for r in got) < hostrules.MAX_HOST_RATE
+    assert {r.doc_id for r in hostrules.accepted(df).collect()} == {r[0] for r in rows} - set(range(30))
