@@ -11,6 +11,7 @@ import base64
 import itertools
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -18,7 +19,8 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import Chars, columns, list_array, ranges, run_hashes, ship, slices, utf8
 
@@ -30,6 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED = 1_200_000
 
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
+_SENT: set[tuple[str, str]] = set()
 
 
 @lru_cache(1)
@@ -243,8 +246,17 @@ def byte_chars() -> dict[int, str]:
 
 @lru_cache(4)
 def codec(path: str = TOKENIZER) -> Codec:
-    """This worker's codec."""
-    return Codec(path)
+    """This worker's codec, of the file that the driver sent if this machine hasn't the path."""
+    return Codec(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def ship_vocabulary(spark: SparkSession, path: str) -> None:
+    """Send this package, and outside local mode the vocabulary's file, to the executors."""
+    ship(spark)
+    app = (spark.sparkContext.applicationId, path)
+    if app not in _SENT and os.path.exists(path) and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        spark.sparkContext.addFile(path)
+    _SENT.add(app)
 
 
 ENCODED = "doc_id bigint, n_tokens bigint, ids array<int>, starts array<int>, ends array<int>, decoded string"
@@ -256,7 +268,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A null text gives nulls; an empty one no ids. Rows that repeat, or whose id is null, are encoded like others. Special tokens' strings
     are ordinary text. Other columns are left out.
     """
-    ship(docs.sparkSession)
+    ship_vocabulary(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
@@ -279,7 +291,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id and text of each list of ids. A null list gives a null text; ids in which a character is split give U+FFFD for its stray bytes."""
-    ship(encoded.sparkSession)
+    ship_vocabulary(encoded.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
@@ -296,7 +308,7 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
 
 def count_tokens(docs: DataFrame, text_col: str, out: str, tokenizer: str = RANKS, keep_text: bool = False) -> DataFrame:
     """docs with a column `out` of token counts, without the text column unless it is kept. A null text has a null count."""
-    ship(docs.sparkSession)
+    ship_vocabulary(docs.sparkSession, tokenizer)
     src = docs.schema
     at_text = docs.columns.index(text_col)
     names = [f.name for f in src if keep_text or f.name != text_col] + [out]

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import RANKS, codec
+from .bpe import RANKS, codec, ship_vocabulary
 from .common import columns, list_array, ranges, ship, slices
 
 BLOCK = 256
@@ -152,7 +152,7 @@ def pack_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids") -> Dat
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = RANKS) -> DataFrame:
     """Each text's token ids, coded as pack_ids() does, without the ids themselves ever leaving the worker. A null text gives nulls."""
-    ship(docs.sparkSession)
+    ship_vocabulary(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
