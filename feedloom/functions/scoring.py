@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +44,26 @@ def _case(k: int, otherwise: str) -> str:
 CATEGORY, SCORE = _case(1, "''"), _case(2, "0")
 
 
+def _in_struct(sql: str, struct: str, names: Iterable[str]) -> str:
+    """sql with these columns' names, but for those within quotes, as fields of the struct."""
+    return re.sub(rf"('[^']*')|\b({'|'.join(names)})\b", lambda m: m[1] or f"{struct}.{m[2]}", sql)
+
+
 def flags(lower_text: Column, vocabularies: dict[str, tuple[str, ...]] | None = None, of: Column | None = None) -> dict[str, Column]:
     return {k: contains_any(lower_text, v, of) for k, v in (vocabularies or NEWS).items()}
 
 
 def scored(items: DataFrame, vocabularies: dict[str, tuple[str, ...]] | None = None, title: str = "title", description: str = "description") -> DataFrame:
-    """items with category and score; both are empty and 0 where no rule holds. A null text counts as empty."""
+    """items with category and score; both are empty and 0 where no rule holds. A null text counts as empty. Columns of items that are named
+    like a vocabulary stay as they are; one named category or score is replaced."""
     text = F.lower(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(description), F.lit(""))))
     names = list(items.columns)
     # The text in lower case, its words and each flag are worked out once.
     held = items.withColumn("__text", text).withColumn("__words", words(F.col("__text")))
-    held = held.withColumn("__flags", F.struct(*[c.alias(k) for k, c in flags(F.col("__text"), vocabularies, F.col("__words")).items()])).select(*names, "__flags.*")
-    return held.withColumns({"category": F.expr(CATEGORY), "score": F.expr(SCORE).cast("int")}).select(*names, "category", "score")
+    held = held.withColumn("__flags", F.struct(*[c.alias(k) for k, c in flags(F.col("__text"), vocabularies, F.col("__words")).items()]))
+    category, score = (_in_struct(x, "__flags", vocabularies or NEWS) for x in (CATEGORY, SCORE))
+    kept = [n for n in names if n.lower() not in ("category", "score")]
+    return held.select(*[F.col(f"`{n}`") for n in kept], F.expr(category).alias("category"), F.expr(score).cast("int").alias("score"))
 
 
 def scored_sql(items: str, keep: str, vocabularies: dict[str, tuple[str, ...]] | None = None) -> str:

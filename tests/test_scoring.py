@@ -42,6 +42,14 @@ def test_every_branch(spark):
     assert seen == {"", "ukraine", "health", "tech", "family", "youth", "culture", "sports", "denmark", "europe", "economy", "environment", "education"}
 
 
+def test_columns_named_like_vocabularies_stay(spark):
+    df = spark.createDataFrame([(1, "robot i Danmark, danske", "", "mine", 7, "old")], "ord int, title string, description string, tech string, ai int, category string")
+    got = scoring.scored(df)
+    assert got.columns == ["ord", "title", "description", "tech", "ai", "category", "score"]
+    row = got.first()
+    assert (row.tech, row.ai, row.category, row.score) == ("mine", 7, "tech", 90)
+
+
 @pytest.mark.parametrize("name", ["youth", "parent", "culture", "sports", "denmark"])
 def test_vocabulary_sizes(name):
     assert len(NEWS[name]) == {"youth": 53, "parent": 58, "culture": 39, "sports": 38, "denmark": 19}[name]
