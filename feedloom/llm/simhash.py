@@ -30,6 +30,8 @@ SKETCH = 128
 SHARD = 512
 #: A shard with more members is searched by several tasks, each of which has its tree and so many of its members as queries.
 HOT = 8192
+#: Shards' sizes are told from one fingerprint in so many; they only say over how many tasks a search is spread.
+SAMPLED = 64
 RECALL, RECALL_AT = 0.98, 10
 #: A broadcast side may have at most so many rows of two numbers; beyond it, the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -105,7 +107,7 @@ def similarities(a: list[bytes], b: list[bytes]) -> np.ndarray:
 
 
 class BkTree:
-    """Distinct 64-bit values in the order of insertion; every node's children have distinct distances to it."""
+    """64-bit values in the order of insertion; every node's children have distinct distances to it."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
@@ -188,29 +190,35 @@ def _side(df: DataFrame) -> DataFrame:
 
 
 def _routed(fps: DataFrame, n: int) -> DataFrame:
-    """The rows of every shard: t and key (which shard), split and asks (which of its tasks, and whose query), and fps' own columns."""
+    """The rows of every shard: t and key (which shard) and fps' own columns; where there are hot shards, also split and asks (which of a
+    shard's tasks, and whose query)."""
     parts = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(n))]
-    routed = fps.withColumn("r", F.explode(F.array(*parts))).select("r.t", "r.key", *fps.columns)
-    whole = (F.lit(0).alias("split"), F.lit(True).alias("asks"))
+
+    def sharded(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("r", F.explode(F.array(*parts))).select("r.t", "r.key", *rows.columns)
+
     if n <= HOT:
-        return routed.select("*", *whole)
-    hot = written(routed.groupBy("t", "key").agg(F.count("*").alias("size")).filter(F.col("size") > HOT).select("t", "key", F.ceil(F.col("size") / HOT).cast("int").alias("tasks")))
+        return sharded(fps)
+    size = F.count("*") * SAMPLED
+    some = sharded(fps.select("fp").filter(F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(SAMPLED)) == 0))
+    hot = written(some.groupBy("t", "key").agg(size.alias("size")).filter(F.col("size") > HOT).select("t", "key", F.ceil(F.col("size") / HOT).cast("int").alias("tasks")))
     if not hot.limit(1).count():
-        return routed.select("*", *whole)
-    each = routed.join(_side(hot), ["t", "key"], "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
+        return sharded(fps)
+    each = sharded(fps).join(_side(hot), ["t", "key"], "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
     each = each.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
     return each.withColumn("asks", F.pmod(F.xxhash64("fp"), F.col("tasks")) == F.col("split")).drop("tasks")
 
 
 def _shards(fps: DataFrame, n: int, radius: int, crossing: bool) -> DataFrame:
     """a, b: nodes whose fingerprints some shard found within the radius; only a spanning forest, or, given labels, all with different ones."""
-    routed = _routed(fps, n).select("t", "key", "split", "asks", "fp", "node", *(["label"] if crossing else []))
-    routed = routed.repartition("t", "key", "split").sortWithinPartitions("t", "key", "split", "fp")
+    routed = _routed(fps, n)
+    by = [c for c in ("t", "key", "split") if c in routed.columns]
+    routed = routed.repartition(*by).sortWithinPartitions(*by, "fp")
 
     def search(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         fp = rows.column("fp").to_numpy().view(np.uint64)
         node = rows.column("node").to_numpy()
-        asks = rows.column("asks").to_numpy()
+        asks = rows.column("asks").to_numpy() if len(by) > 2 else None
         tree = BkTree(fp)
         if crossing:
             label = rows.column("label").to_numpy()
@@ -231,10 +239,10 @@ def _shards(fps: DataFrame, n: int, radius: int, crossing: bool) -> DataFrame:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            at = [table.column(c).to_numpy() for c in ("t", "key", "split")]
+            at = [table.column(c).to_numpy() for c in by]
             cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
             edges = [0, *cut.tolist(), len(at[0])]
-            if held and [held[-1].column(c)[-1].as_py() for c in ("t", "key", "split")] != [x[0] for x in at]:
+            if held and [held[-1].column(c)[-1].as_py() for c in by] != [x[0] for x in at]:
                 yield out(pa.concat_tables(held))
                 held = []
             for x, y in zip(edges[:-1], edges[1:]):
@@ -315,11 +323,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS,
     if tested.filter("not good").limit(1).count():
         label = F.coalesce("label", "node").alias("label")
         labelled = fps.join(labels, "node", "left").select("fp", "node", label)
-        more = _shards(labelled, n, radius, True)
+        # Texts that share a fingerprint with one that stood for them and aren't like it are now searched for themselves.
         torn = tested.filter("not good").join(sig.select(F.col("node").alias("b"), "fp").distinct(), "b").join(fps, "fp").filter("node = a").select("fp").distinct()
-        members = sig.select("node", "fp").distinct().join(torn, "fp").join(labels, "node", "left").select("fp", "node", label)
-        other = members.toDF("fp", "other", "other_label")
-        more = more.union(members.join(other, "fp").filter("node < other and label <> other_label").select("node", "other")).distinct()
+        members = sig.select("node", "fp").distinct().join(torn, "fp").join(fps, ["fp", "node"], "left_anti").join(labels, "node", "left").select("fp", "node", label)
+        more = _shards(labelled.union(members), n, radius, True)
         more = written(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         again = written(sketched(more))
         if again.filter("good").limit(1).count():

@@ -90,6 +90,8 @@ def test_hot_shards_are_split_and_find_the_same(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(make(6, 150))), "doc_id long, text string")
     want = sorted((r.doc_id, r.group_id) for r in simhash.groups(df).collect())
     monkeypatch.setattr(simhash, "HOT", 16)
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    assert {"split", "asks"} <= set(simhash._routed(spark.range(100).selectExpr("id fp", "id node"), 100).columns)
     assert sorted((r.doc_id, r.group_id) for r in simhash.groups(df).collect()) == want
     assert len({g for _, g in want}) < len(want)
 
@@ -115,6 +117,17 @@ def test_recall_and_precision_against_true_jaccard(spark):
         assert not mates or max(jaccard.get((min(i, j), max(i, j)), 0) for j in mates) >= simhash.SIMILARITY - 0.15
 
 
+def test_texts_with_one_fingerprint_that_are_not_alike(spark):
+    r = random.Random(2)
+    w = ["".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(120)]
+    orders = [r.sample(w, len(w)) for _ in range(4)]
+    texts = [" ".join(o) for o in orders] + [" ".join([*o[:60], *"seven quite other words stand between these".split(), *o[67:]]) for o in orders]
+    fp, _ = simhash.signatures(pa.array(texts))
+    assert len(set(fp[:4].tolist())) == 1 and all(f != fp[0] for f in fp[4:])
+    got = {x.doc_id: x.group_id for x in simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i % 4 for i in range(8)}
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_awkward_rows(spark, extra):
     long = "word other thing " * 60_000
