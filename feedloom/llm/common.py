@@ -180,12 +180,22 @@ def _cp_values() -> np.ndarray:
     return mix((np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+class Runs:
+    """64-bit hashes of runs of characters, from prefix sums of a polynomial in random values of the characters."""
+
+    def __init__(self, cp: np.ndarray):
+        power, self.inverse = _powers(len(cp) + 1)
+        self.sums = np.zeros(len(cp) + 1, np.uint64)
+        np.cumsum(_cp_values()[cp] * power[: len(cp)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of each run from start to end."""
+        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def run_hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run cp[start:end], from prefix sums of a polynomial in random values of the characters."""
-    power, inverse = _powers(len(cp) + 1)
-    h = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(_cp_values()[cp] * power[: len(cp)], out=h[1:])
-    return mix((h[ends] - h[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """Runs of cp that are hashed but once."""
+    return Runs(cp)(starts, ends)
 
 
 @lru_cache(1)

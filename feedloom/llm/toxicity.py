@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chars, columns, fresh, mix, ranges, run_hashes, ship, slices, words, written
+from .common import Chars, Runs, columns, fresh, mix, ranges, run_hashes, ship, slices, words, written
 
 #: Labelled documents of a class that the classifier is fitted on, at most; and held-out ones that its threshold is fitted on.
 MAX_CLASS = 20_000
@@ -53,7 +53,8 @@ class Tokens:
         chars = Chars(pc.utf8_lower(text))
         self.cp, self.text, self.n = chars.cp, chars.text, len(text)
         self.starts, self.ends, self.doc = words(chars)
-        self.h = run_hashes(self.cp, self.starts, self.ends)
+        self.runs = Runs(self.cp)
+        self.h = self.runs(self.starts, self.ends)
 
     def own(self) -> np.ndarray:
         return mix(self.h + self.roots[self.doc])
@@ -80,12 +81,13 @@ def _expand(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     """All beginnings of the words, and the words as ended: word's index, hash, hash of the beginning one step shorter, and steps."""
     n, d = len(starts), _steps(ends - starts)
     row, k = np.repeat(np.arange(n), d), ranges(np.ones(n, np.int64), d)
-    h = run_hashes(cp, starts[row], starts[row] + k)
+    runs = Runs(cp)
+    h = runs(starts[row], starts[row] + k)
     up = np.zeros(len(h), np.uint64)
     up[1:] = h[:-1]
     up[k == 1] = 0
     last = h[np.cumsum(d) - 1]
-    whole = run_hashes(cp, starts, ends)
+    whole = runs(starts, ends)
     at = np.arange(n)
     return np.concatenate([at, row, at]), np.concatenate([np.zeros(n, np.uint64), h, _ended(whole)]), np.concatenate([np.zeros(n, np.uint64), up, last]), np.concatenate([np.zeros(n, np.int64), k, d + 1])
 
@@ -149,7 +151,7 @@ class Keys:
                 break
             mid = (low[open_] + high[open_] + 1) // 2
             r = rest[open_]
-            got = self.find(mix(run_hashes(t.cp, s[r], s[r] + mid) + root[r]))
+            got = self.find(mix(t.runs(s[r], s[r] + mid) + root[r]))
             there = got >= 0
             low[open_[there]], at[open_[there]] = mid[there], got[there]
             high[open_[~there]] = mid[~there] - 1
@@ -422,8 +424,8 @@ def _add_pairs(model: Model, roots: np.ndarray, train: DataFrame, vocabulary: Da
                 part = batch.slice(at, k)
                 chars = Chars(part.column(2))
                 t = Tokens.__new__(Tokens)
-                t.cp, t.starts, t.ends, t.doc, t.n = chars.cp, chars.off[:-1], chars.off[1:], np.arange(k), k
-                t.roots, t.h = part.column(1).to_numpy().view(np.uint64), run_hashes(chars.cp, chars.off[:-1], chars.off[1:])
+                t.starts, t.ends, t.doc, t.n, t.runs = chars.off[:-1], chars.off[1:], np.arange(k), k, Runs(chars.cp)
+                t.roots, t.h = part.column(1).to_numpy().view(np.uint64), t.runs(t.starts, t.ends)
                 lp, w = m.word_lp(t)
                 lists = part.column(3)
                 row = np.repeat(np.arange(k), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
