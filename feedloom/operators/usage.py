@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,10 +32,43 @@ def run_metrics(events: DataFrame) -> DataFrame:
         F.max_by("millis", F.when(F.col("kind") == "time", F.col("at"))).alias("last_millis"),
         last_run.alias("last_run"),
         F.max_by("message", F.when(F.col("kind") == "error", F.col("at"))).alias("last_error"),
+        last_error.alias("last_error_at"),
         (last_error.isNull() | F.coalesce(last_run >= last_error, F.lit(False))).alias("healthy"),
     )
 
 
+def _utc(at: Column) -> Column:
+    """A time as UTC, in whole seconds; the first of January of year 1 for none."""
+    clock = F.timestamp_add("SECOND", F.unix_seconds(at), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.coalesce(F.date_format(clock, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("0001-01-01T00:00:00Z"))
+
+
+def metrics_body(metrics: DataFrame) -> DataFrame:
+    """body: the row of run_metrics() as JSON."""
+    c = F.col
+    fields = {
+        "average_processing_time_ms": c("average_millis"),
+        "duplicates_filtered": c("duplicates_filtered"),
+        "failed_translations": c("failed_translations"),
+        "is_healthy": c("healthy"),
+        "last_error": F.coalesce("last_error", F.lit("")),
+        "last_error_time": _utc(c("last_error_at")),
+        "last_processing_time_ms": F.coalesce("last_millis", F.lit(0)),
+        "last_run_time": _utc(c("last_run")),
+        "messages_sent": c("messages_sent"),
+        "successful_translations": c("successful_translations"),
+        "total_news_processed": c("news_processed"),
+    }
+    return metrics.select(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("body"))
+
+
+def health_body(metrics: DataFrame) -> DataFrame:
+    """code (200, or 503 where the run isn't healthy) and body of the row of run_metrics()."""
+    status = F.when(F.col("healthy"), "ok").otherwise("error")
+    body = F.struct(F.coalesce("last_error", F.lit("")).alias("last_error"), _utc(F.col("last_run")).alias("last_run"), status.alias("status"))
+    return metrics.select(F.when(F.col("healthy"), 200).otherwise(503).alias("code"), F.to_json(body).alias("body"))
+
+
 def hit_rate(events: DataFrame) -> DataFrame:
     """hits, misses, tokens_saved and the rate in percent, 0 where nothing was asked for, of rows (hit, tokens)."""
     hits, misses = F.count_if("hit"), F.count_if(~F.col("hit"))

@@ -589,6 +589,29 @@ def metrics_row(spark, d):
     return usage.run_metrics(e).select("news_processed", "messages_sent", "duplicates_filtered", "total_millis", "average_millis")
 
 
+LOGGED = "case event_type when 'click' then 'processed' when 'view' then 'time' when 'purchase' then 'sent' when 'signup' then 'run' else 'error' end"
+
+
+def _logged(spark, d):
+    return usage.run_metrics(table(spark, d, "events").select(F.expr(LOGGED).alias("kind"), F.expr(EVENT_TIME).alias("at"), (c("event_id") % 977).alias("millis"), F.concat(F.lit("e"), c("event_id").cast("string")).alias("message")))
+
+
+LOGGED_SQL = f"""(select count_if(k = 'processed') as processed, count_if(k = 'sent') as sent, sum(m) filter (k = 'time') // count_if(k = 'time') as mean, arg_max(m, ts) filter (k = 'time') as last_m,
+ max(ts) filter (k = 'run') as run, max(ts) filter (k = 'error') as err, arg_max('e' || event_id, ts) filter (k = 'error') as message from (select *, {LOGGED} as k, event_id % 977 as m from events))"""
+CLOCK = "'%Y-%m-%dT%H:%M:%SZ'"
+
+
+@query(f"""select '{{"average_processing_time_ms":' || cast(mean as bigint) || ',"duplicates_filtered":0,"failed_translations":0,"is_healthy":' || (run >= err) || ',"last_error":"' || message || '","last_error_time":"' || strftime(err, {CLOCK}) || '","last_processing_time_ms":' || last_m
+ || ',"last_run_time":"' || strftime(run, {CLOCK}) || '","messages_sent":' || sent || ',"successful_translations":0,"total_news_processed":' || processed || '}}' as body from {LOGGED_SQL}""")
+def metrics_endpoint(spark, d):
+    return usage.metrics_body(_logged(spark, d))
+
+
+@query(f"""select case when run >= err then 200 else 503 end as code, '{{"last_error":"' || message || '","last_run":"' || strftime(run, {CLOCK}) || '","status":"' || case when run >= err then 'ok' else 'error' end || '"}}' as body from {LOGGED_SQL}""")
+def health_endpoint(spark, d):
+    return usage.health_body(_logged(spark, d))
+
+
 @query("select count_if(event_id % 4 <> 0) as hits, count_if(event_id % 4 = 0) as misses, cast(sum(event_id % 50) filter (event_id % 4 <> 0) as bigint) as tokens_saved, 100.0 * count_if(event_id % 4 <> 0) / count(*) as hit_rate from events")
 def cache_hit_rate(spark, d):
     return usage.hit_rate(table(spark, d, "events").select((c("event_id") % 4 != 0).alias("hit"), (c("event_id") % 50).alias("tokens")))

@@ -210,3 +210,17 @@ def test_articles_and_summaries_for_the_first_few(spark):
     main = spark.createDataFrame([(f"l{k}", "S", "D", None) for k in range(7)], "link string, summary string, danish string, ukrainian string")
     got = {x.ord: (x.summary, x.danish, x.ukrainian) for x in enrich.with_summaries(items, main, 3).collect()}
     assert all(got[i] == (("S", "D", "short") if i < 3 else ("short",) * 3) for i in range(30))
+
+
+def test_endpoints(spark):
+    import json
+
+    rows = [("processed", 1, 0, ""), ("time", 2, 10, ""), ("error", 4, 0, 'a "boom"'), ("run", 3, 0, "")]
+    e = spark.createDataFrame(rows, "kind string, t long, millis long, message string").select("kind", F.timestamp_seconds("t").alias("at"), "millis", "message")
+    sick = usage.health_body(usage.run_metrics(e)).first()
+    assert sick.code == 503 and json.loads(sick.body) == {"status": "error", "last_error": 'a "boom"', "last_run": "1970-01-01T00:00:03Z"}
+    full = json.loads(usage.metrics_body(usage.run_metrics(e)).first().body)
+    assert full["last_error_time"] == "1970-01-01T00:00:04Z" and full["average_processing_time_ms"] == 10 and full["is_healthy"] is False
+    new = usage.health_body(usage.run_metrics(e.limit(0))).first()
+    assert new.code == 200 and json.loads(new.body) == {"status": "ok", "last_error": "", "last_run": "0001-01-01T00:00:00Z"}
+    assert json.loads(usage.metrics_body(usage.run_metrics(e.limit(0))).first().body)["last_processing_time_ms"] == 0
