@@ -125,12 +125,20 @@ def _heading(flag: str, words: str) -> str:
 DIGEST = (("ukraine", _heading("🇺🇦", "УКРАЇНА В ДАНІЇ")), ("denmark", "\n" + _heading("🇩🇰", "ВАЖЛИВІ НОВИНИ")), ("", "\n" + _heading("🌍", "ІНШІ НОВИНИ")))
 
 
+def _group() -> Column:
+    return F.when(F.col("category") == "ukraine", 0).when(F.col("category") == "denmark", 1).otherwise(2)
+
+
+def digest_items(items: DataFrame, most: int) -> DataFrame:
+    """The items that digest() takes; summaries need be made for these alone."""
+    return items.orderBy(_group(), "ord").limit(most)
+
+
 def digest(items: DataFrame, most: int) -> DataFrame:
     """One row: the message. Items on Ukraine come first, then on Denmark, then others, each by `ord`, numbered through up to `most`. A
     heading stands if a number was left for its group."""
-    group = F.when(F.col("category") == "ukraine", 0).when(F.col("category") == "denmark", 1).otherwise(2)
     row = {c: F.col(c) for c in ("title", "link", "category", "ukrainian", "danish")}
-    first = items.withColumn("__g", group).orderBy("__g", "ord").limit(most)
+    first = digest_items(items, most).withColumn("__g", _group())
     numbered = first.withColumn("__n", F.row_number().over(Window.orderBy("__g", "ord")))
     made = numbered.select("__g", "__n", single(row, 1500, F.col("__n")).alias("text"))
     one = made.agg(F.array_sort(F.collect_list(F.struct("__g", "__n", "text"))).alias("rows"))

@@ -557,8 +557,8 @@ def _digest_sql() -> str:
 
 @query(_digest_sql())
 def digest(spark, d):
-    n = scored(items(spark, d), DEMO).filter("score > 0").withColumns({"ukrainian": text.fallback_summary(c("description")), "danish": F.lit("")})
-    return layout.digest(n, 10)
+    n = layout.digest_items(scored(items(spark, d), DEMO).filter("score > 0"), 10)
+    return layout.digest(n.withColumns({"ukrainian": text.fallback_summary(c("description")), "danish": F.lit("")}), 10)
 
 
 # Enrichment
