@@ -92,7 +92,7 @@ def periods(requests: DataFrame, period_seconds: int = 24 * 3600) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begun, pa.int64())], names=["second", "since"])
 
     seconds = requests.select(F.unix_seconds("at").alias("second")).filter("second is not null").distinct()
-    return seconds.coalesce(1).sortWithinPartitions("second").mapInArrow(chain, "second bigint, since bigint")
+    return seconds.repartition(1).sortWithinPartitions("second").mapInArrow(chain, "second bigint, since bigint")
 
 
 def admitted(requests: DataFrame, quotas: dict[str, int], total: int, period_seconds: int = 24 * 3600) -> DataFrame:
