@@ -475,16 +475,17 @@ def _add_pairs(model: Model, roots: np.ndarray, train: DataFrame, vocabulary: Da
 
 
 def best_threshold(score: np.ndarray, toxic: np.ndarray) -> float:
-    """The score from which on calling documents toxic has the best F1 over the labels, halfway to the next score below; infinity where
-    no label is toxic."""
-    if not toxic.any():
-        return float("inf")
+    """The score from which on calling documents toxic has the best F1 over the labels, halfway to the next score below. It is above 0, as
+    what isn't likelier to be toxic than ordinary never is; infinity where no score is, or no label is toxic."""
     order = np.argsort(-score, kind="stable")
+    ranked = score[order]
+    last = np.append(ranked[1:] != ranked[:-1], True) & (ranked > 0)
+    if not toxic.any() or not last.any():
+        return float("inf")
     hits = np.cumsum(toxic[order])
     f1 = 2 * hits / (np.arange(1, len(score) + 1) + toxic.sum())
-    last = np.append(score[order][1:] != score[order][:-1], True)
-    at, ranked = np.flatnonzero(last)[f1[last].argmax()], score[order]
-    return float(ranked[at : at + 2].mean())
+    at = np.flatnonzero(last)[f1[last].argmax()]
+    return float((ranked[at] + max(ranked[at + 1], 0.0)) / 2) if at + 1 < len(ranked) else float(ranked[at])
 
 
 def _labels(labels: DataFrame) -> DataFrame:

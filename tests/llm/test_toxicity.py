@@ -223,6 +223,19 @@ def test_other_languages_and_ties(spark):
     threshold = toxicity.best_threshold(np.array([0.5, 0.5, 0.5, 0.1]), np.array([True, True, False, False]))
     assert 0.1 < threshold <= 0.5
     assert toxicity.best_threshold(np.array([0.5, 0.5]), np.array([True, False])) == 0.5
+    # Without evidence, or with evidence against, nothing is toxic.
+    assert toxicity.best_threshold(np.array([0.0, -1.0, -2.0]), np.array([True, True, False])) == np.inf
+    assert toxicity.best_threshold(np.array([0.4, 0.0, 0.0]), np.array([True, True, False])) == 0.2
+    assert toxicity.best_threshold(np.array([0.4]), np.array([False])) == np.inf
+
+
+def test_few_labels_reject_nothing_by_default(spark):
+    docs, truth = corpus(60)
+    plain = [(i, t) for i, t in docs if not truth[i]]
+    # The labels say nothing of the words.
+    labels = [(i, k % 2) for k, (i, _) in enumerate(plain)]
+    got = toxicity.scores(spark.createDataFrame(plain, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert sum(r.toxic for r in got) <= 0.1 * len(got)
 
 
 def test_a_class_with_one_document(spark):
