@@ -247,7 +247,7 @@ def test_a_class_with_one_document(spark):
 
 
 def test_awkward_rows(spark):
-    docs, truth = corpus(120)
+    docs, truth = corpus(500)
     rows = [(i, t, "x", 1.5, None) for i, t in docs] + [(None, "a b", None, None, None), (1000, None, "y", 0.0, None), (1001, "", "y", 0.0, None), (0, docs[0][1], "x", 1.5, None), (1002, "long word " * 100_000, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score double, __text int")
     labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(truth)] + [(None, 1), (3, None), (0, 1), (5555, 1)], "doc_id long, toxic int")
