@@ -3,9 +3,11 @@
 A fingerprint is 64 majority bits over the text's distinct longer words. Fingerprints are sharded by several masks of their bits, as many
 as keep a pair ten bits apart together with probability 0.98 at the shard size that is aimed at; so shards stay of one size as the corpus
 grows and only the number of masks rises slowly. In each shard a BK-tree, whose children are keyed by their distance to the parent, is
-searched with every member, along edges within the radius only. Pairs found are verified on bottom sketches of their word pairs. A first
-round verifies a spanning forest of what each shard found; a second, every other pair that would still join two groups. So large groups of
-copies need no quadratic verification, and no pair is left out that could change a group.
+searched with every member, along edges within the radius only. With each fingerprint goes a summary of the text's bottom sketch of word
+pairs, which rules out most pairs that aren't alike, and none that is, where they are found. Those left are verified on the sketches: a
+first round verifies a spanning forest of what each shard found; a second, every other pair that would still join two groups, which only
+groups with a refuted pair can have. So large groups of copies need no quadratic verification, and no pair is left out that could change a
+group. Texts count as one only if fingerprint and sketch are the same.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Chars, checkpointed, columns, fresh, mix, ranges, run_hashes, ship, slices, words, written
+from .common import Chars, checkpointed, columns, fresh, mix, ranges, run_hashes, ship, slices, utf8, words, written
 
 RADIUS = 12
 #: Least share of word pairs, in the union of both texts', that copies have in common.
@@ -28,6 +30,10 @@ SIMILARITY = 0.5
 #: Word pairs kept of a text; a text with no more than these is compared exactly.
 SKETCH = 128
 SHARD = 512
+#: A subtree with no more values is compared as a whole.
+LEAF = 128
+#: Residues of a sketch's values that go with the fingerprint, so that most pairs that aren't alike are refuted where they are found.
+BITS = 320
 #: A shard with more members is searched by several tasks, each of which has its tree and so many of its members as queries.
 HOT = 8192
 #: Shards' sizes are told from one fingerprint in so many; they only say over how many tasks a search is spread.
@@ -106,52 +112,101 @@ def similarities(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.bincount(row[inside & both], minlength=n)[:n] / np.maximum(union, 1)
 
 
+def summaries(sketches: list[bytes]) -> np.ndarray:
+    """Of each sketch, which of BITS residues its values have, and in a last word how many values there are."""
+    n = len(sketches)
+    size = np.fromiter((len(x) // 4 for x in sketches), np.int64, n)
+    at = np.frombuffer(b"".join(sketches), np.uint32) % np.uint32(BITS)
+    flags = np.zeros((n, BITS), bool)
+    flags[np.repeat(np.arange(n), size), at] = True
+    return np.concatenate([np.packbits(flags, axis=1, bitorder="little").view(np.uint64), size.astype(np.uint64)[:, None]], axis=1)
+
+
+def bounds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What similarities() of the summarised sketches is at most, pair by pair: a residue that one lacks is a value that it lacks."""
+    kx, ky = x[:, -1].astype(np.int64), y[:, -1].astype(np.int64)
+    x, y = x[:, :-1], y[:, :-1]
+    both = np.minimum(kx - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), ky - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+    return both / np.maximum(np.minimum(kx + ky - both, SKETCH), 1)
+
+
+Pairs = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
 class BkTree:
-    """64-bit values in the order of insertion; every node's children have distinct distances to it."""
+    """64-bit values in the order of insertion; every node's children have distinct distances to it. A subtree of few values, or of equal ones,
+    is a leaf, whose values are compared at once."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        n = len(values)
-        parent, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-        item, at = np.arange(1, n), np.zeros(max(n - 1, 0), np.int64)
-        while len(item):
-            d = np.bitwise_count(values[item] ^ values[at]).astype(np.int64)
-            _, first, group = np.unique(at * 65 + d, return_index=True, return_inverse=True)
-            child = item[first]
-            parent[child], edge[child] = at[first], d[first]
-            rest = np.ones(len(item), bool)
-            rest[first] = False
-            item, at = item[rest], child[group[rest]]
-        kids = np.flatnonzero(parent >= 0)
-        key = parent[kids] * 65 + edge[kids]
-        order = np.argsort(key)
-        self.kids, self.key = kids[order], key[order]
-
-    def pairs(self, radius: int, asks: np.ndarray | None = None, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        #: Of each node, its values (one, but for leaves), and its children with their distances.
+        self.nodes: list[tuple[np.ndarray, list[tuple[int, int]]]] = []
+        todo = [(np.arange(len(values)), 64, None)] if len(values) else []
+        while todo:
+            own, edge, siblings = todo.pop()
+            if siblings is not None:
+                siblings.append((edge, len(self.nodes)))
+            if len(own) <= LEAF or not edge:
+                self.nodes.append((own, []))
+                continue
+            self.nodes.append((own[:1], kids := []))
+            d = np.bitwise_count(values[own[1:]] ^ values[own[0]])
+            order = np.argsort(d, kind="stable")
+            cut = np.flatnonzero(np.diff(d[order])) + 1
+            todo += [(x, int(y[0]), kids) for x, y in zip(np.split(own[1:][order], cut), np.split(d[order], cut))]
+
+    def pairs(self, radius: int, asks: np.ndarray | None = None, step: int = 1 << 18) -> Pairs:
         """(node, query, distance) of all pairs within the radius whose node was inserted before the query; `asks` says who is a query."""
         n = len(self.values)
-        block = max(1, step // max(n, 1))
-        who = np.arange(1, n) if asks is None else np.flatnonzero(asks[1:]) + 1
-        for begin in range(0, len(who), block):
-            query = who[begin : begin + block]
-            node = np.zeros(len(query), np.int64)
-            while len(query):
-                d = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
-                hit = d <= radius
-                if hit.any():
-                    yield node[hit], query[hit], d[hit]
-                low = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 0))
-                high = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), side="right")
-                count = high - low
-                node, query = self.kids[ranges(low, count)], np.repeat(query, count)
-                before = node < query
-                node, query = node[before], query[before]
-
-
-def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that span the groups of those given."""
+        todo = [(0, np.arange(1, n) if asks is None else np.flatnonzero(asks[1:]) + 1)] if n else []
+        while todo:
+            at, query = todo.pop()
+            own, kids = self.nodes[at]
+            query = query[query > own[0]]
+            if not len(query):
+                continue
+            if kids:
+                d = np.bitwise_count(self.values[query] ^ self.values[own[0]])
+                if (hit := d <= radius).any():
+                    yield np.repeat(own, np.count_nonzero(hit)), query[hit], d[hit].astype(np.int64)
+                todo += [(kid, query[(d >= edge - radius) & (d <= edge + radius)]) for edge, kid in kids]
+                continue
+            many = max(1, step // len(query))
+            for x in range(0, len(own), many):
+                node = own[x : x + many]
+                for y in range(0, len(query), step):
+                    some = query[y : y + step]
+                    d = np.bitwise_count(self.values[node][:, None] ^ self.values[some])
+                    i, j = np.divmod(np.flatnonzero(d <= radius), len(some))
+                    before = node[i] < some[j]
+                    i, j = i[before], j[before]
+                    if len(i):
+                        yield node[i], some[j], d[i, j].astype(np.int64)
+
+
+def gathered(pairs: Pairs, least: int = 1 << 16) -> Pairs:
+    """The pairs in fewer and longer arrays."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = 0
+    for x in pairs:
+        held.append(x)
+        n += len(x[0])
+        if n >= least:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def forest(pairs: Pairs, n: int, alike=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that span the groups of those given, or of those of them that may be `alike`."""
     root, left, right = np.arange(n), [], []
     for a, b, _ in pairs:
+        if alike:
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            good = alike(a, b)
+            a, b = a[good], b[good]
         while True:
             ra, rb = root[a], root[b]
             apart = ra != rb
@@ -209,8 +264,9 @@ def _routed(fps: DataFrame, n: int) -> DataFrame:
     return each.withColumn("asks", F.pmod(F.xxhash64("fp"), F.col("tasks")) == F.col("split")).drop("tasks")
 
 
-def _shards(fps: DataFrame, n: int, radius: int, crossing: bool) -> DataFrame:
-    """a, b: nodes whose fingerprints some shard found within the radius; only a spanning forest, or, given labels, all with different ones."""
+def _shards(fps: DataFrame, n: int, radius: int, similarity: float, crossing: bool) -> DataFrame:
+    """a, b: nodes whose fingerprints some shard found within the radius and whose summaries don't rule the similarity out; only a spanning
+    forest, or, given labels, all with different ones."""
     routed = _routed(fps, n)
     by = [c for c in ("t", "key", "split") if c in routed.columns]
     routed = routed.repartition(*by).sortWithinPartitions(*by, "fp")
@@ -219,13 +275,22 @@ def _shards(fps: DataFrame, n: int, radius: int, crossing: bool) -> DataFrame:
         fp = rows.column("fp").to_numpy().view(np.uint64)
         node = rows.column("node").to_numpy()
         asks = rows.column("asks").to_numpy() if len(by) > 2 else None
-        tree = BkTree(fp)
+        label = rows.column("label").to_numpy() if crossing else None
+        bits = utf8(rows.column("bits"))[0].view(np.uint64).reshape(len(fp), -1)
+
+        def alike(a: np.ndarray, b: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+            return np.concatenate([bounds(bits[a[i : i + step]], bits[b[i : i + step]]) >= similarity for i in range(0, max(len(a), 1), step)])
+
+        pairs = gathered(BkTree(fp).pairs(radius, asks))
         if crossing:
-            label = rows.column("label").to_numpy()
-            got = [(a[x], b[x]) for a, b, _ in tree.pairs(radius, asks) if (x := label[a] != label[b]).any()]
+            got = []
+            for a, b, _ in pairs:
+                x = np.flatnonzero(label[a] != label[b])
+                x = x[alike(a[x], b[x])]
+                got.append((a[x], b[x]))
             a, b = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
         else:
-            a, b = forest(tree.pairs(radius, asks), len(fp))
+            a, b = forest(pairs, len(fp), alike)
         return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,35 +368,35 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS,
         for batch in batches:
             for at, n in slices(batch.column(2)):
                 fp, sketch = signatures(batch.column(2).slice(at, n))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(fp.view(np.int64)), pa.array(sketch, pa.binary())], names=["doc_id", "node", "fp", "sketch"])
+                bits = pa.array([x.tobytes() for x in summaries(sketch)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(fp.view(np.int64)), pa.array(sketch, pa.binary()), bits], names=["doc_id", "text", "fp", "sketch", "bits"])
 
-    sig = written(base.filter("text is not null").mapInArrow(sign, "doc_id bigint, node bigint, fp bigint, sketch binary"))
-    fps = written(sig.groupBy("fp").agg(F.min("node").alias("node")))
+    sig = base.filter("text is not null").mapInArrow(sign, "doc_id bigint, text bigint, fp bigint, sketch binary, bits binary")
+    # Texts with the same fingerprint and sketch are one node: no pair tells them apart.
+    sig = written(sig.withColumn("node", F.xxhash64("fp", "sketch")))
+    fps = written(sig.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bits").alias("bits")))
     n = fps.count()
-    sketches = sig.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    star = sig.select("node", "fp").distinct().join(fps.withColumnRenamed("node", "rep"), "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    first = _shards(fps, n, radius, False).union(star)
-    wanted = written(first)
 
     def sketched(pairs: DataFrame) -> DataFrame:
-        need = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-        return _verified(pairs, sketches.join(need, "node"), similarity)
+        need = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
+        return _verified(pairs, sig.select("node", "sketch").join(_side(need), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), similarity)
 
-    tested = written(sketched(wanted))
+    tested = written(sketched(written(_shards(fps, n, radius, similarity, False))))
     good = tested.filter("good").select("a", "b")
     labels = components(good)
-    if tested.filter("not good").limit(1).count():
-        label = F.coalesce("label", "node").alias("label")
-        labelled = fps.join(labels, "node", "left").select("fp", "node", label)
-        # Texts that share a fingerprint with one that stood for them and aren't like it are now searched for themselves.
-        torn = tested.filter("not good").join(sig.select(F.col("node").alias("b"), "fp").distinct(), "b").join(fps, "fp").filter("node = a").select("fp").distinct()
-        members = sig.select("node", "fp").distinct().join(torn, "fp").join(fps, ["fp", "node"], "left_anti").join(labels, "node", "left").select("fp", "node", label)
-        more = _shards(labelled.union(members), n, radius, True)
-        more = written(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        again = written(sketched(more))
+    bad = tested.filter("not good")
+    if bad.limit(1).count():
+        # A pair that was left out lies on a path that a shard found. If it would join two groups, the path has a refuted pair, and going along
+        # it from either end one comes, within the end's group, to a node of such a pair.
+        labelled = fps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        ends = bad.select("a").union(bad.select("b")).distinct().withColumnRenamed("a", "node")
+        torn = ends.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label")).distinct()
+        more = _shards(written(labelled.join(torn, "label", "left_semi").select("fp", "node", "bits", "label")), n, radius, similarity, True)
+        again = written(sketched(written(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"))))
         if again.filter("good").limit(1).count():
             labels = components(good.union(again.filter("good").select("a", "b")))
-    rows = sig.select("doc_id", "node", "fp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = sig.select("doc_id", F.col("text").alias("own"), "node", "fp").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = rows.select("doc_id", F.col("own").alias("node"), "fp", "label")
     w = Window.partitionBy("label")
     rows = rows.select("doc_id", "node", "fp", F.min("doc_id").over(w).alias("group_id"), (F.row_number().over(w.orderBy(F.col("doc_id").asc_nulls_last(), "node")) == 1).alias("keep"))
     null = base.filter("text is null").select("doc_id", F.lit(None).cast("bigint"), F.lit(None).cast("bigint"), "doc_id", F.lit(True))

@@ -154,3 +154,44 @@ def test_masks_reach_the_recall_at_every_size():
         found = simhash.masks(n)
         k = found[0].bit_count()
         assert 1 - (1 - math.comb(64 - simhash.RECALL_AT, k) / math.comb(64, k)) ** len(found) >= simhash.RECALL
+
+
+def test_summaries_never_rule_out_what_is_alike():
+    rng = np.random.default_rng(4)
+    a, b = [], []
+    for k in range(600):
+        own = rng.integers(0, 1 << 32, rng.choice([1, 2, 5, 60, 130, 400]), dtype=np.uint32)
+        other = rng.integers(0, 1 << 32, rng.choice([1, 2, 5, 60, 130, 400]), dtype=np.uint32)
+        both = np.concatenate([own[: len(own) * (k % 5) // 4], other])
+        a.append(np.unique(own)[: simhash.SKETCH].tobytes())
+        b.append(np.unique(both)[: simhash.SKETCH].tobytes())
+    most, true = simhash.bounds(simhash.summaries(a), simhash.summaries(b)), simhash.similarities(a, b)
+    assert (most >= true - 1e-12).all() and (true >= 0.5).sum() > 100
+    unlike = (true < 0.05) & np.array([len(x) == len(y) == 4 * simhash.SKETCH for x, y in zip(a, b)])
+    assert unlike.sum() > 10 and (most[unlike] < 0.5).mean() > 0.8
+
+
+def test_unlike_texts_with_close_fingerprints_cost_no_verification(spark, monkeypatch):
+    r = random.Random(8)
+    w = ["".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(150)]
+    texts = [" ".join(r.sample(w, len(w))) for _ in range(200)]
+    assert len(set(simhash.signatures(pa.array(texts))[0].tolist())) == 1
+    seen, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    got = {x.doc_id: x.group_id for x in simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(200)} and sum(seen) < 2000  # of 19,900 pairs
+
+
+def test_no_link_is_lost_by_texts_with_one_fingerprint(spark):
+    r = random.Random(5)
+    w = ["".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(150)]
+    new = "seven quite other words stand between these".split()
+    turned = [*w[:105], *w[:104:-1]]
+    begun = [*w[44::-1][:20], *new, *w[44::-1][27:], *w[45:]]  # like w, but not like what has its end turned
+    middle = [*w[:45], *w[89:44:-1][:20], *new, *w[89:44:-1][27:], *turned[90:]]  # the other way round
+    texts = [" ".join(x) for x in (w, turned, begun, middle)]
+    fp, sk = simhash.signatures(pa.array(texts))
+    near = {(i, j) for i in range(4) for j in range(i + 1, 4) if simhash.similarities([sk[i]], [sk[j]])[0] >= simhash.SIMILARITY}
+    assert near == {(0, 1), (0, 2), (1, 3)} and fp[0] == fp[1] and np.bitwise_count(fp ^ fp[0]).max() <= simhash.RADIUS
+    got = {x.doc_id: x.group_id for x in simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(4)}
