@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, mix, ranges, ship, written
+from .simhash import components
 
 COSINE = 0.95
 SUBSPACES, CODES = 8, 256
@@ -232,6 +233,29 @@ def all_pairs(pairs: DataFrame) -> DataFrame:
     return others.union(own).select(F.least("x", "y").alias("vec_a"), F.greatest("x", "y").alias("vec_b"), "cosine")
 
 
+def groups(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int = PROBES) -> DataFrame:
+    """vec_id, group_id, links and same_as, for every row.
+
+    group_id is the least id of those that near pairs connect it with, links the number of other vectors that are near it, all copies
+    counted, and same_as the least id of the vectors that equal it, if that is another. Of an id with several vectors the links add up. A vector without a partner is a group of its own; a
+    row without an id has neither group nor links. Other columns are left out.
+    """
+    ids = columns(df, id_col).toDF("vec_id").select(F.col("vec_id").cast("bigint"))
+    pairs = written(near_pairs(df, id_col, vector_col, cosine, probes))
+    same, near = pairs.filter("same"), pairs.filter("not same")
+    # Vectors that are equal are counted and connected by the one that stands for them.
+    copies = written(same.select(F.col("vec_a").alias("rep"), F.col("vec_b").alias("id")))
+    size = copies.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("more"))
+    ends = near.select(F.col("vec_a").alias("rep"), F.col("vec_b").alias("id")).union(near.select("vec_b", "vec_a"))
+    around = ends.join(size, "id", "left").groupBy("rep").agg(F.sum(F.lit(1) + F.coalesce("more", F.lit(0))).alias("links"))
+    labels = components(pairs.select(F.col("vec_a").alias("a"), F.col("vec_b").alias("b")))
+    members = copies.union(near.select("vec_a", "vec_a").union(near.select("vec_b", "vec_b")).union(copies.select("rep", F.col("rep"))).distinct())
+    links = members.join(around, "rep", "left").join(size.withColumnRenamed("id", "rep"), "rep", "left")
+    links = links.groupBy("id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("links"), F.min(F.when(F.col("rep") != F.col("id"), F.col("rep"))).alias("same_as"))
+    found = labels.join(links.withColumnRenamed("id", "node"), "node").withColumnRenamed("node", "vec_id")
+    return ids.join(found, "vec_id", "left").select("vec_id", F.coalesce("label", "vec_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "same_as")
+
+
 def _pairs_of(vectors: DataFrame, n: int, dim: int, cosine: float, probes: int) -> DataFrame:
     coarse, seed = coarse_centres(vectors, n, dim)
     rows = listed(vectors, coarse, probes)

@@ -46,7 +46,7 @@ def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pq.near_pairs(_table(spark, sf_dir, "embeddings"))
+    return pq.groups(_table(spark, sf_dir, "embeddings"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

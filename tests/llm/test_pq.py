@@ -1,6 +1,6 @@
 import numpy as np
 
-from feedloom.llm import pq
+from feedloom.llm import pq, queries
 
 
 def vectors(n=1500, dim=32, seed=0):
@@ -64,3 +64,39 @@ def test_awkward_rows(spark):
     got = {(r.vec_a, r.vec_b): r.cosine for r in pq.near_pairs(df).collect()}
     assert got == {(1, 3): 1.0, (1, 2): 1.0}
     assert pq.near_pairs(df.limit(0)).count() == 0
+
+
+def test_a_row_for_every_vector_with_its_group_and_links(spark, tmp_path):
+    x = vectors(600, seed=7)
+    x[50:60] = x[5]  # copies of a vector that has near ones
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = brute(x, pq.COSINE)
+    root, links = list(range(len(x))), [0] * len(x)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    pairs = [(r.vec_a, r.vec_b) for r in pq.all_pairs(pq.near_pairs(frame)).collect()]
+    assert len(set(pairs) & want) >= 0.9 * len(want) and len(want) > 200 and all(u[a] @ u[b] >= pq.COSINE - 1e-4 for a, b in pairs)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    first: dict = {}
+    same = [j if (j := first.setdefault(v.tobytes(), i)) != i else None for i, v in enumerate(x)]
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = queries.op2_pq_near_dedup(spark, f"{tmp_path}").collect()
+    assert sorted(map(tuple, rows), key=lambda r: r[0]) == [(i, find(i), links[i], same[i]) for i in range(len(x))]
+
+
+def test_groups_of_awkward_rows(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, []), (None, [1.0, 0.0]), (10, [0.0, 1.0])]
+    rows += [(20, [0.0, 0.0, 1.0]), (21, [0.0, 0.0, 1.0]), (21, [0.0, 1.0, 0.0]), (22, [0.0, 1.0, 0.0])]  # one id with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 id", "'x' v", "2 a", "3 label")
+    got = sorted(map(tuple, pq.groups(df).collect()), key=str)
+    assert got == sorted([(1, 1, 2, None), (2, 1, 2, None), (3, 1, 2, 1), (3, 1, 2, 1), (4, 4, 0, None), (5, 5, 0, None), (6, 6, 0, None), (None, None, 0, None), (10, 10, 0, None), (20, 20, 1, None), (21, 20, 2, 20), (21, 20, 2, 20), (22, 20, 1, 21)], key=str)
+    assert pq.groups(df.limit(0)).count() == 0
