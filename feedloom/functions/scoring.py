@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vocab import NEWS, contains_any, contains_any_sql, words
+from .vocab import NEWS, contains_any, contains_any_sql
 
 #: Name, condition, category, base, and bonuses as (condition, points). All are read by Spark and DuckDB alike.
 CONTEXT = "(denmark or ukraine or europe)"
@@ -49,8 +49,8 @@ def _in_struct(sql: str, struct: str, names: Iterable[str]) -> str:
     return re.sub(rf"('[^']*')|\b({'|'.join(names)})\b", lambda m: m[1] or f"{struct}.{m[2]}", sql)
 
 
-def flags(lower_text: Column, vocabularies: dict[str, tuple[str, ...]] | None = None, of: Column | None = None) -> dict[str, Column]:
-    return {k: contains_any(lower_text, v, of) for k, v in (vocabularies or NEWS).items()}
+def flags(lower_text: Column, vocabularies: dict[str, tuple[str, ...]] | None = None) -> dict[str, Column]:
+    return {k: contains_any(lower_text, v) for k, v in (vocabularies or NEWS).items()}
 
 
 def scored(items: DataFrame, vocabularies: dict[str, tuple[str, ...]] | None = None, title: str = "title", description: str = "description") -> DataFrame:
@@ -58,9 +58,11 @@ def scored(items: DataFrame, vocabularies: dict[str, tuple[str, ...]] | None = N
     like a vocabulary stay as they are; one named category or score is replaced."""
     text = F.lower(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(description), F.lit(""))))
     names = list(items.columns)
-    # The text in lower case, its words and each flag are worked out once.
-    held = items.withColumn("__text", text).withColumn("__words", words(F.col("__text")))
-    held = held.withColumn("__flags", F.struct(*[c.alias(k) for k, c in flags(F.col("__text"), vocabularies, F.col("__words")).items()]))
+    # The text in lower case and each flag are worked out once. The flags come from a generator, as a filter by category or score
+    # isn't pushed below one; below a projection, it would have the flags, and with each the text, worked out wherever a rule names them.
+    held = items.withColumn("__text", text)
+    found = F.struct(*[c.alias(k) for k, c in flags(F.col("__text"), vocabularies).items()])
+    held = held.select(*[F.col(f"`{n}`") for n in names], F.explode(F.array(found)).alias("__flags"))
     category, score = (_in_struct(x, "__flags", vocabularies or NEWS) for x in (CATEGORY, SCORE))
     kept = [n for n in names if n.lower() not in ("category", "score")]
     return held.select(*[F.col(f"`{n}`") for n in kept], F.expr(category).alias("category"), F.expr(score).cast("int").alias("score"))

@@ -1,9 +1,11 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedloom.functions import scoring
-from feedloom.functions.vocab import NEWS
+from feedloom.functions.vocab import NEWS, contains_any
+from feedloom.plans.items import DEMO
 
 WORD = {"refugee": "refugee", "visa": "visumforlængelse", "ukraine": "ukraine", "denmark": "danske", "conflict": "putin", "tech": "robot", "ai": "llm", "medical": "medicin", "exclude": "vejr", "europe": "eu", "youth": "gaming", "parent": "barsel", "culture": "opera", "sports": "tennis", "politics": "minister", "economy": "bank", "environment": "klima", "education": "universitet"}
 
@@ -53,3 +55,23 @@ def test_columns_named_like_vocabularies_stay(spark):
 @pytest.mark.parametrize("name", ["youth", "parent", "culture", "sports", "denmark"])
 def test_vocabulary_sizes(name):
     assert len(NEWS[name]) == {"youth": 53, "parent": 58, "culture": 39, "sports": 38, "denmark": 19}[name]
+
+
+def test_a_filter_by_score_has_no_flag_worked_out_twice(spark):
+    """The texts in lower case and the vocabularies' searches stand as often in the plan with a filter as without."""
+    rows = spark.createDataFrame([(0, "t", "d")], "ord long, title string, description string")
+
+    def times(df, what: str) -> int:
+        return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+    plain = scoring.scored(rows, DEMO).select("category", "score")
+    chosen = scoring.scored(rows, DEMO).filter("score <> 0").select("category", "score")
+    assert times(plain, "lower(") == times(chosen, "lower(") == 1
+    assert times(plain, "exists(") == times(chosen, "exists(") > 0
+
+
+def test_whole_words_between_any_signs(spark):
+    words_ = ("it", "bø")
+    texts = {"it": True, "x it y": True, "it.": True, "(it)\n": True, "æitø": True, " it ": True, "bit itx _it it_ 1it": False, "bits, it!": True, "bø": True, "abø bøa": False, "": False}
+    df = spark.createDataFrame(list(texts.items()), "t string, want boolean")
+    assert df.filter(contains_any(F.col("t"), words_) != F.col("want")).collect() == []
