@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .text import condense, fallback_summary, limit_bytes, trim, trim_to_words
+from .text import condense, fallback_summary, let, limit_bytes, trim, trim_to_words, trimmed
 
 CAPTION_MAX, SENTENCES, MIN_PER_LANGUAGE, MIN_TOTAL = 1024, 2, 120, 180
 CAPTION_HEAD = "🇩🇰 Danish Feed 🇺🇦\n\n"
@@ -15,7 +15,7 @@ LINE = "━"
 
 
 def _or(s: Column, other: Column) -> Column:
-    return F.when(trim(F.coalesce(s, F.lit(""))) == "", other).otherwise(trim(s))
+    return let(trimmed(F.coalesce(s, F.lit(""))), lambda x: F.when(x == "", other).otherwise(x))
 
 
 def _with_summaries(items: DataFrame, sentences: int) -> DataFrame:

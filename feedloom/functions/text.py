@@ -20,6 +20,25 @@ def trim(s: Column) -> Column:
     return F.regexp_replace(s, f"^{WS}+|{WS}+$", "")
 
 
+def trimmed(s: Column) -> Column:
+    """trim() for long texts, which aren't searched unless an end of theirs is white space."""
+    return let(s, lambda x: F.when(F.left(x, F.lit(1)).rlike(WS) | F.right(x, F.lit(1)).rlike(WS), trim(x)).otherwise(x))
+
+
+#: Characters of a text that are searched first for what is usually at its beginning; where they don't decide, the whole text is searched.
+HEAD = 1000
+
+
+def at_head(s: Column, of_head, of_whole, enough: int) -> Column:
+    """The first items of an array made of a text: of_head() gives those of its first characters that are the same whatever follows; if they
+    are fewer than enough, of_whole() of the text is taken."""
+    return let(s, lambda x: let(of_head(F.left(x, F.lit(HEAD))), lambda h: F.when(F.size(h) >= enough, h).otherwise(of_whole(x))))
+
+
+def without_last(parts: Column) -> Column:
+    return let(parts, lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
+
+
 def squeezed(s: Column) -> Column:
     """Fields joined by one space each."""
     return trim(F.regexp_replace(s, f"{WS}+", " "))
@@ -65,25 +84,31 @@ def condense(s: Column, most: int) -> Column:
     if most <= 0:
         return trim(s)
 
-    def of(t: Column) -> Column:
+    def sentences(t: Column) -> Column:
         # Without the tail after the last end of a sentence, over which the pattern would be tried anew from each of its characters.
         ended = F.regexp_extract(t, "(?s)^.*[.!?]", 0)
-        whole = F.filter(F.transform(F.regexp_extract_all(ended, F.lit("[^.!?]*[.!?]"), 0), lambda x: trim(x)), lambda x: F.char_length(x) >= 15)
+        return F.filter(F.transform(F.regexp_extract_all(ended, F.lit("[^.!?]*[.!?]"), 0), lambda x: trim(x)), lambda x: F.char_length(x) >= 15)
+
+    def of(t: Column) -> Column:
+        whole = at_head(t, sentences, sentences, most)
         pieces = F.transform(F.filter(F.transform(F.split(t, r"\."), lambda x: trim(x)), lambda x: x != ""), lambda x: F.concat(x, F.lit(".")))
         return F.when(t == "", t).otherwise(let(whole, lambda w: trim(F.array_join(F.slice(F.when(F.size(w) > 0, w).otherwise(pieces), 1, most), " "))))
 
-    return let(trim(s), of)
+    return let(trimmed(s), of)
 
 
 def fallback_summary(s: Column) -> Column:
     """The first two pieces between full stops that have 25 bytes or more; if there is none, the first 160 bytes."""
 
+    def long(parts: Column) -> Column:
+        return F.filter(F.transform(parts, lambda x: trim(x)), lambda x: F.octet_length(x) >= 25)
+
     def of(t: Column) -> Column:
-        pieces = F.slice(F.filter(F.transform(F.split(t, r"\."), lambda x: trim(x)), lambda x: F.octet_length(x) >= 25), 1, 2)
+        pieces = F.slice(at_head(t, lambda h: long(without_last(F.split(h, r"\."))), lambda x: long(F.split(x, r"\.")), 2), 1, 2)
         rest = F.when(F.octet_length(t) > 160, F.concat(byte_cut(t, 160), F.lit("..."))).otherwise(t)
         return let(pieces, lambda p: F.when(F.size(p) == 0, rest).otherwise(F.concat(F.array_join(p, ". "), F.lit("."))))
 
-    return let(trim(s), of)
+    return let(trimmed(s), of)
 
 
 _SP = r"[ \t\n\f\r]"

@@ -1,3 +1,6 @@
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +152,42 @@ def test_character_references_as_html_has_them(spark):
     assert values(spark, unescaped, texts) == [None if t is None else html.unescape(t) for t in texts]
     got = values(spark, text.snippet, ["<p>Bl&aring;b&aelig;r&nbsp;og fl&oslash;de til alle &mdash; nu.</p>"])
     assert got == ["Blåbær og fløde til alle — nu."]
+
+
+def test_what_the_head_of_a_text_decides_and_what_it_does_not(spark):
+    """Summaries are looked for in a text's first characters, and in all of it where these don't decide."""
+    ends = ["", ".", " .", "..", "!? ", "\n", " "]
+    starts = ["", " \n", "Kort. ", "Det er en hel sætning. ", "Det er en hel sætning med mere end femogtyve tegn! ", "En lang og ganske almindelig sætning med punktum. "]
+    fills = ["", "å. " * 400, "x" * (text.HEAD - 3), "ø" * (text.HEAD - 20) + ". Og så kommer resten af det hele.", "y z " * 300]
+    tails = ["", "Her er den første rigtige sætning i teksten. Og her er så den næste, som er længere.", "Ingen ende her, men en del tegn"]
+    all_ = sorted({a + f + t + e for a in starts for f in fills for t in tails for e in ends})
+
+    def summary(s):
+        s = s.strip()
+        parts = [x for x in (p.strip() for p in s.split(".")) if len(x.encode()) >= 25][:2]
+        if parts:
+            return ". ".join(parts) + "."
+        return s.encode()[:160].decode(errors="ignore") + "..." if len(s.encode()) > 160 else s
+
+    def short(s):
+        s = s.strip()
+        whole = [x for x in (p.strip() for p in re.findall("[^.!?]*[.!?]", s)) if len(x) >= 15]
+        return " ".join((whole or [x + "." for x in (p.strip() for p in s.split(".")) if x])[:2]).strip()
+
+    df = spark.createDataFrame([(s,) for s in all_], "s string")
+    for s, got, condensed in df.select("s", text.fallback_summary(F.col("s")), text.condense(F.col("s"), 2)).collect():
+        assert (got, condensed) == (summary(s), short(s)), repr(s)
+
+
+def test_the_text_is_searched_whole_only_where_its_head_does_not_decide(spark):
+    """Long texts cost little more than short ones; splitting them whole would take many times as long."""
+    def seconds(n: int) -> float:
+        df = spark.range(0, 200, 1, 1).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit(" er en ganske almindelig sætning."), n)).alias("s"))
+        best = 1e9
+        for _ in range(3):
+            began = time.time()
+            df.select(text.fallback_summary(F.col("s")), text.condense(F.col("s"), 2)).write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - began)
+        return best
+
+    assert seconds(3000) < 5 * seconds(30) + 1
