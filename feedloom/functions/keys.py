@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, squeezed, trim
+from .text import at_head, let, squeezed, trim, trimmed, without_last
 
 TRACKING = ("fbclid", "gclid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 STOP_WORDS = ("a", "af", "an", "der", "en", "er", "et", "for", "i", "ikke", "med", "og", "om", "på", "the", "til")
@@ -72,9 +72,18 @@ def similarity_key(title: Column, description: Column, link: Column, published:
     start of the six hours in which the item was published, in seconds. `now` stands in for an unknown time."""
     host = F.lower(F.regexp_extract(link, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#]*)", 1))
     host = F.when(host == "", "unknown").otherwise(host)
-    t = F.regexp_replace(F.lower(trim(F.concat(title, F.lit(" "), description))), "<[^>]*>", " ")
-    words = F.filter(F.split(F.regexp_replace(t, r"[^\p{L}\p{N}]", " "), " +"), lambda x: x != "")
-    telling = F.filter(words, lambda x: (F.octet_length(x) > 2) & ~x.isin(*STOP_WORDS))
-    picked = F.slice(let(telling, lambda w: F.when(F.size(w) > 0, w).otherwise(words)), 1, MOST_WORDS)
+    text = F.lower(trimmed(F.concat(title, F.lit(" "), description)))
+
+    def words(t: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), r"[^\p{L}\p{N}]+", " ")
+        return F.filter(F.split(bare, " "), lambda x: x != "")
+
+    def telling(w: Column) -> Column:
+        return F.filter(w, lambda x: (F.octet_length(x) > 2) & ~x.isin(*STOP_WORDS))
+
+    # A tag may be open where the head ends, and its last word may go on.
+    head = lambda h: F.when(F.contains(h, F.lit("<")), F.slice(F.split(F.lit(""), " "), 1, 0)).otherwise(telling(without_last(words(h))))
+    whole = lambda t: let(words(t), lambda w: let(telling(w), lambda x: F.when(F.size(x) > 0, x).otherwise(w)))
+    picked = F.slice(at_head(text, head, whole, MOST_WORDS), 1, MOST_WORDS)
     at = F.unix_seconds(F.coalesce(published, rfc1123(published_raw), now))
     return F.concat_ws("|", host, F.array_join(picked, "_"), (at - F.pmod(at, F.lit(BUCKET_SECONDS))).cast("string"))

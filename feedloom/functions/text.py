@@ -36,7 +36,7 @@ def at_head(s: Column, of_head, of_whole, enough: int) -> Column:
 
 
 def without_last(parts: Column) -> Column:
-    return let(parts, lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
+    return let(parts, lambda p: F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))))
 
 
 def squeezed(s: Column) -> Column:

@@ -191,3 +191,21 @@ def test_the_text_is_searched_whole_only_where_its_head_does_not_decide(spark):
         return best
 
     assert seconds(3000) < 5 * seconds(30) + 1
+
+
+def test_similarity_key_of_texts_longer_than_their_head(spark):
+    """The words are those that a plain search of the whole text finds, also where the head ends in a word or a tag."""
+    starts = ["", " Og det er. ", "<b>Nyt</b> fra byen: ", "en to tre fire fem ", "en to tre fire fem seks syv ", "<a href='x y z'"]
+    fills = ["", "og " * 400, "x" * (text.HEAD - 12), "-" * (text.HEAD - 22) + " abcdefghijklmnopqrstu"]
+    tails = ["", "> ordene står først her bagefter <i>lige</i> nu", "ord i æøå-teksten, 5 dage"]
+    all_ = sorted({a + f + t for a in starts for f in fills for t in tails})
+
+    def picked(s):
+        bare = re.sub(r"[^\w]|_", " ", re.sub("<[^>]*>", " ", ("t " + s).strip().lower()))
+        found = [w for w in bare.split(" ") if w]
+        return "_".join(([w for w in found if len(w.encode()) > 2 and w not in keys.STOP_WORDS] or found)[:6])
+
+    df = spark.createDataFrame([(s,) for s in all_], "s string")
+    at = F.timestamp_seconds(F.lit(0))
+    for s, got in df.select("s", keys.similarity_key(F.lit("t"), F.col("s"), F.lit("http://h/"), at, F.lit(""), at)).collect():
+        assert got == f"h|{picked(s)}|0", repr(s)
